@@ -19,10 +19,20 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
 
 
-def _shingles(ws: str, n: int) -> Column:
-    """Hashes of all runs of n words of a column with n words or more."""
+def _shingles(ws: Column, n: int) -> Column:
+    """Hashes of all runs of n words; none if there are fewer."""
     at = F.sequence(F.lit(0), F.size(ws) - F.lit(n))
-    return F.transform(at, lambda i: F.xxhash64(*[F.get(ws, i + F.lit(k)) for k in range(n)]))
+    runs = F.transform(at, lambda i: F.xxhash64(*[F.get(ws, i + F.lit(k)) for k in range(n)]))
+    return F.when(F.size(ws) >= n, runs).otherwise(F.array().cast("array<long>"))
+
+
+def _once(ws: Column, **more) -> Column:
+    """Rows (ws and the columns of ``more``, functions of it) for a select.
+
+    The words are an argument here: a plain column would be put into each use of
+    it, and so be cut out of the text again for every word.
+    """
+    return F.inline(F.transform(F.array(ws), lambda w: F.struct(w.alias("ws"), *[f(w).alias(n) for n, f in more.items()])))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -32,23 +42,25 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, item_id: str =
     one window. shingle_n is the shingle size that the window is looked up by.
     """
     require(benchmark, item_id, text)
-    items = benchmark.select(F.col(item_id).alias("item_id"), words(text_or_empty(text)).alias("ws")).where(F.size("ws") > 0)
-    last = F.greatest(F.size("ws") - F.lit(window - 1), F.lit(1))
-    cuts = items.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), last), lambda i: F.slice("ws", i, window))).alias("words"))
-    return cuts.distinct().select("item_id", "words", F.size("words").alias("n"), F.least(F.size("words"), F.lit(SHINGLE)).alias("shingle_n"))
+    def cuts(ws: Column) -> Column:
+        last = F.greatest(F.size(ws) - F.lit(window - 1), F.lit(1))
+        return F.transform(F.sequence(F.lit(1), last), lambda i: F.slice(ws, i, F.lit(window)))
+
+    items = benchmark.select(F.col(item_id).alias("item_id"), _once(words(text_or_empty(text)), cuts=cuts)).where(F.size("ws") > 0)
+    return items.select("item_id", F.explode("cuts").alias("words")).distinct().select("item_id", "words", F.size("words").alias("n"), F.least(F.size("words"), F.lit(SHINGLE)).alias("shingle_n"))
 
 
-def _doc_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """(key, ws, at, shingle_n, h) for each shingle of each document.
+def _doc_shingles(rows: DataFrame, kept: list[str], sizes: list[int]) -> DataFrame:
+    """(columns of ``kept``, at, shingle_n, h) for each shingle of each document.
 
     The hashes are a column before they are exploded: so the explode and a broadcast
-    join behind it are compiled together, and ws isn't copied for rows the join drops.
+    join behind it are compiled together, and the words (ws) aren't copied for rows
+    that the join drops.
     """
     out = None
     for n in sizes:
-        hashes = F.when(F.size("ws") >= n, _shingles("ws", n)).otherwise(F.array().cast("array<long>"))
-        hashed = docs.withColumn("hashes", hashes)
-        part = hashed.select(*docs.columns, F.posexplode("hashes").alias("at", "h")).withColumn("shingle_n", F.lit(n))
+        hashed = rows.select("*", _once(words(F.col("text")), hashes=lambda ws: _shingles(ws, n)))  # noqa: B023
+        part = hashed.select(*kept, F.posexplode("hashes").alias("at", "h")).withColumn("shingle_n", F.lit(n))
         out = part if out is None else out.union(part)
     return out
 
@@ -95,11 +107,10 @@ def contamination(
     hashed = None
     for n in sizes:
         part = windows.where(F.col("shingle_n") == n)
-        part = part.select("*", F.posexplode(_shingles("words", n)).alias("place", "h"))
+        part = part.select("*", F.posexplode(_shingles(F.col("words"), n)).alias("place", "h"))
         hashed = part if hashed is None else hashed.union(part)
-    parsed = rows.select("key", words(F.col("text")).alias("ws"))
     lookup = side(hashed.select("shingle_n", "h").distinct())
-    seen = _doc_shingles(parsed.select("ws"), sizes).select("shingle_n", "h").join(lookup, ["shingle_n", "h"]).groupBy("shingle_n", "h").agg(F.count(F.lit(1)).alias("df"))
+    seen = _doc_shingles(rows, [], sizes).select("shingle_n", "h").join(lookup, ["shingle_n", "h"]).groupBy("shingle_n", "h").agg(F.count(F.lit(1)).alias("df"))
     ranked = hashed.join(seen, ["shingle_n", "h"])
     # A window with a shingle that no document has can't occur: it has fewer counted shingles than places.
     by = W.partitionBy("item_id", "words")
@@ -107,7 +118,7 @@ def contamination(
         {"found": F.count(F.lit(1)).over(by), "nth": F.row_number().over(by.orderBy("df", "place"))}
     ).where((F.col("nth") == 1) & (F.col("found") == F.col("n") - F.col("shingle_n") + 1))
     prefix = cut(prefix.select("item_id", "words", "n", "shingle_n", "place", "h"))
-    shingles = _doc_shingles(parsed, sizes)
+    shingles = _doc_shingles(rows, ["key", "ws"] if small else ["key"], sizes)
     start = (F.col("at") - F.col("place")).alias("start")
     if small:
         met = shingles.join(F.broadcast(prefix), ["shingle_n", "h"])
@@ -116,7 +127,7 @@ def contamination(
     else:
         met = shingles.select("key", "at", "shingle_n", "h").join(prefix, ["shingle_n", "h"]).where("at >= place")
         met = met.select("key", start, "n", "item_id", "words").distinct()
-        again = met.join(parsed.dropDuplicates(["key"]), "key")
+        again = met.join(rows.dropDuplicates(["key"]).select("key", words(F.col("text")).alias("ws")), "key")
         hits = again.where((F.col("start") + F.col("n") <= F.size("ws")) & (F.slice("ws", F.col("start") + 1, F.col("n")) == F.col("words"))).select("key", "start", "n", "item_id")
     per_item = hits.groupBy("key", "start", "n").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
     spans = F.array_sort(F.collect_list(F.struct("start", "n")))

@@ -72,7 +72,5 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     repeated = line_templates(docs, doc_id, text).groupBy("key").agg(F.collect_set("line_no").alias("drop"))
     rows = docs.select(F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("h")).alias("key"), F.split(text_or_empty(text), "\n", -1).alias("lines"))
     found = rows.join(repeated, "key", "left")
-    keys = F.map_from_arrays("drop", F.transform("drop", lambda _: F.lit(True)))
-    left = F.filter("lines", lambda _, i: ~F.coalesce(F.element_at(F.col("dropped"), i), F.lit(False)))
-    found = found.withColumn("dropped", F.when(F.col("drop").isNotNull(), keys).otherwise(F.create_map().cast("map<int,boolean>")))
+    left = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: ~F.array_contains("drop", i)))
     return found.select("key.doc_id", F.array_join(left, "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("n_dropped"))
