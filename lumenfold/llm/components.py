@@ -28,7 +28,8 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     round is checkpointed, so neither the lineage nor a lost executor grows the work.
     Nodes without an edge have no row: they are their own component.
     """
-    current, before = cut(_small_star(edges)), None
+    # The edges are cut first: each step reads its input twice.
+    current, before = cut(_small_star(cut(edges))), None
     for _ in range(max_rounds):
         state = current.agg(F.count(F.lit(1)), F.expr("coalesce(sum(cast(xxhash64(u, v) as decimal(38, 0))), 0)")).first()
         if tuple(state) == before:

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,8 +110,8 @@ def near_links(fps: DataFrame, prefilter: bool = True) -> DataFrame:
     connected with one edge a member instead of one a pair. Each edge is verified.
     """
     variants = ball_variants(fps) if prefilter else all_variants(fps)
-    star = variants.groupBy("variant").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = variants.join(star.select("variant", "v"), "variant").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
+    least = F.min("fp").over(W.partitionBy("variant"))
+    edges = variants.select(F.col("fp").alias("u"), least.alias("v")).where("u <> v").distinct()
     return edges.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)
 
 
