@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import require, shared_path, text_or_empty
 
 ID = np.dtype("<u4")
-CACHED = 600_000  # pieces held by a Python worker; beyond that the cache starts anew
+CACHED = 1_200_000  # pieces held by a Python worker; beyond that the cache starts anew
 LONGEST = 48  # characters of a piece that is worth holding
 #: White space but single blanks and line feeds, or two such in a row. U+180E counts
 #: as white space in older Unicode tables.
@@ -170,7 +170,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, do
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     spark = docs.sparkSession
     ordered.mapInArrow(encode, TOKEN_SCHEMA).write.options(
-        **{"compression": "zstd", "parquet.writer.version": "v2", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.enable.dictionary": "false", "parquet.enable.dictionary#tokens.list.element": "true"}
+        **{"compression": "snappy", "parquet.writer.version": "v2", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.enable.dictionary": "false", "parquet.enable.dictionary#tokens.list.element": "true"}
     ).parquet(f"{path}/tokens")
     parts = spark.read.schema(TOKEN_SCHEMA).parquet(f"{path}/tokens").groupBy("part").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("ids"))
     # One row a written file, so this window stays small.
