@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -202,8 +203,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
 
 def score_column(model: GatedAttentionModel):
-    import pandas as pd
-
     @F.pandas_udf("double")
     def quality_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
