@@ -17,7 +17,7 @@ from lumenfold.llm.tokens import ID, encoder, small_batches
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, open boolean, part long, ids binary"
 _FIELDS = ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "open", "part", "ids")
 _ARROW = pa.schema([(n, {"open": pa.bool_(), "ids": pa.binary()}.get(n, pa.int64())) for n in _FIELDS])
-FAN = 64  # parts whose leftovers one merging task takes
+FAN = 16  # parts whose leftovers one merging task takes
 
 
 @dataclass
@@ -120,8 +120,8 @@ def pack(
     are cut off long documents; what is left goes to the open window it fits best;
     where none fits, the fullest is emitted, filled up with the document's head
     (gaps of under ``least_piece`` are padded instead). The ``most_open`` windows that
-    a partition leaves are merged in rounds of 64 partitions a task, so a task
-    never holds more than 64 x ``most_open`` windows; the very last window is cut at
+    a partition leaves are merged in rounds of 16 partitions a task, so a task
+    never holds more than 16 x ``most_open`` windows; the very last window is cut at
     powers of two. Pieces are written to the shared folder after each round; a rerun
     task packs its partition alike.
 
@@ -159,7 +159,7 @@ def pack(
 
 
 def _merge(left: DataFrame, path: str, nth: int, final: bool, length: int, most_open: int, least_piece: int) -> DataFrame:
-    """Packs the leftovers of 64 parts into one part; the final round leaves nothing."""
+    """Packs the leftovers of FAN parts into one part; the final round leaves nothing."""
 
     def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         part = key[0].as_py()

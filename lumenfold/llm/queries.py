@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import chat, decontam, exact, lines, packing, pii, quality, sharding, simhash, tokens
+from lumenfold.session import with_workers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return with_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tokenizer_path(name: str) -> str:
