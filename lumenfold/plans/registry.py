@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenfold.session import with_workers
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -23,5 +25,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; its timestamps become instants (UTC session)."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = with_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     return df.withColumns({c: df[c].cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +21,11 @@ def local_session(name: str = "lumenfold", cpus: int | None = None, memory: str
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def with_workers(spark: SparkSession) -> SparkSession:
+    """Lets Python workers on this machine import the library where it isn't installed."""
+    root, held = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if root not in held.get("PYTHONPATH", ""):
+        held["PYTHONPATH"] = ":".join(filter(None, [root, held.get("PYTHONPATH")]))
+    return spark
