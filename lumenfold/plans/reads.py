@@ -119,7 +119,7 @@ def unlabelled_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT n.n_name, r.r_name, count(*) AS orders, count(DISTINCT c.c_custkey) AS customers, round(sum(o.o_totalprice), 2) AS total, round(avg(o.o_totalprice), 4) AS mean
+    SELECT n.n_name, r.r_name, count(*) AS orders, count(DISTINCT c.c_custkey) AS customers, round(sum(o.o_totalprice), 2) AS total, round(avg(o.o_totalprice), 2) AS mean
     FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
     GROUP BY ALL"""
 )
@@ -127,7 +127,7 @@ def exposure_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-115, O-141, O-142: a chain of equi-joins and grouped totals."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     j = o.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("orders"), F.count_distinct("c_custkey").alias("customers"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    return j.groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("orders"), F.count_distinct("c_custkey").alias("customers"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.round(F.avg("o_totalprice"), 2).alias("mean"))
 
 
 @query(
