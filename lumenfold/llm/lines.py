@@ -5,30 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import cut, require, text_or_empty
+from lumenfold.llm.common import cut, require, stored, text_or_empty
 
 WILD = "<*>"
 LEADING = 3  # leading tokens in a leaf's path, below the token count
 LEAST_TOKENS = 3
 LEAST_DOCS = 3  # documents that a template has to recur in
 CONSTANT_DOCS = 2  # documents of the leaf that must share a token at its place, or it is a variable
+MOST_BROADCAST = 2_000_000  # leaves of several documents up to which their hashes are broadcast
 LEAST_CONSTANT = 0.6  # share of a template's tokens that have to be constant
 
 
-def masked(token: Column) -> Column:
-    """Tokens with a digit are variable from the start."""
-    return F.when(token.rlike("[0-9]"), F.lit(WILD)).otherwise(token)
+def masked(line: Column) -> Column:
+    """The line's tokens joined by single blanks; tokens with a digit are <*>."""
+    plain = F.when(line.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)
+    plain = F.trim(plain)
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<!\S)(?=\S*[0-9])\S++", WILD)).otherwise(plain)
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(key, line_no, line, leaf): masked lines of LEAST_TOKENS tokens or more and their leaf."""
     body = F.split(text_or_empty(text), "\n", -1)
     rows = docs.select(F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("h")).alias("key"), F.posexplode(body).alias("line_no", "line"))
-    tokens = F.filter(F.split(F.col("line"), r"[\x20\x09-\x0D]+", -1), lambda t: t != "")
-    return rows.withColumn("tokens", F.transform(tokens, masked))
+    rows = rows.select("key", "line_no", masked(F.col("line")).alias("line"))
+    tokens = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    return rows.withColumn("tokens", tokens).where(F.col("tokens") >= LEAST_TOKENS).select("key", "line_no", "line", F.xxhash64("tokens", F.substring_index("line", " ", LEADING)).alias("leaf"))
 
 
-def line_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, line_no, template, recurring) for lines of leaves with several documents.
+def line_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """(key, line_no, template, n_docs) of the lines whose template recurs.
 
     A fixed-depth tree parses lines: the first level is the token count, the next
     ones the first LEADING tokens, where tokens with a digit are variable. Below a
@@ -39,27 +44,32 @@ def line_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     LEAST_TOKENS tokens never match. Copies of a whole text count as one document:
     they are for the exact deduplication to remove.
 
-    Leaves that lie in one document alone are left out before tokens are counted,
-    which is most of the text.
+    Leaves that lie in one document alone, which hold most of the text, are left out
+    by a first pass that shuffles hashes alone. The others' hashes (8 bytes each) are
+    broadcast up to ``most_broadcast`` of them; beyond, lines are shuffled by leaf.
+    Token counts go by hashes, so line texts aren't shuffled with their tokens.
     """
     require(docs, doc_id, text)
-    path = F.xxhash64(F.size("tokens"), F.slice("tokens", F.lit(1), F.lit(LEADING)))
-    lines = _lines(docs, doc_id, text).where(F.size("tokens") >= LEAST_TOKENS)
-    lines = lines.select(F.col("key.h").alias("doc"), "key", "line_no", "tokens", path.alias("leaf"))
-    leaves = lines.groupBy("leaf").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("leaf")
-    shared = cut(lines.join(leaves, "leaf", "left_semi"))
+    lines = _lines(docs, doc_id, text)
+    leaves = lines.groupBy("leaf").agg(F.min("key.h").alias("a"), F.max("key.h").alias("b")).where("a <> b").select("leaf")
+    leaves = cut(leaves)
+    side = F.broadcast(leaves) if leaves.count() <= most_broadcast else leaves
+    shared = lines.join(side, "leaf", "left_semi").select("key", "line_no", "leaf", "line", F.xxhash64("leaf", "line").alias("lid"))
+    shared = stored(shared, "lines", compression="zstd")
     # Alike lines of one leaf are counted once before their tokens are.
-    alike = shared.groupBy("leaf", "tokens").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
-    places = alike.select("leaf", F.posexplode("tokens").alias("at", "token"), F.explode(F.array("a", "b")).alias("doc"))
-    constant = places.where(F.col("token") != WILD).groupBy("leaf", "at", "token").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b")
-    marked = alike.select("leaf", "tokens", F.posexplode("tokens").alias("at", "token")).join(constant.select("leaf", "at", "token", F.lit(True).alias("fixed")), ["leaf", "at", "token"], "left")
-    word = F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(WILD))
-    template = F.array_sort(F.collect_list(F.struct("at", word.alias("token"))))
-    made = marked.groupBy("leaf", "tokens").agg(F.transform(template, lambda x: x["token"]).alias("template"))
-    share = F.size(F.filter("template", lambda t: t != WILD)) / F.size("template")
-    found = shared.join(made.where(share >= LEAST_CONSTANT), ["leaf", "tokens"])
-    docs_of = found.groupBy("template").agg(F.count_distinct("doc").alias("n_docs")).where(F.col("n_docs") >= LEAST_DOCS)
-    return found.join(docs_of, "template").select("key", "line_no", F.array_join("template", " ").alias("template"), "n_docs")
+    alike = shared.groupBy("leaf", "lid").agg(F.first("line").alias("line"), F.min("key.h").alias("a"), F.max("key.h").alias("b"))
+    alike = stored(alike, "alike", compression="zstd")
+    spots = alike.select("leaf", "lid", "a", "b", F.posexplode(F.split("line", " ", -1)).alias("at", "token")).where(F.col("token") != WILD)
+    spots = spots.select("lid", "at", "a", "b", F.xxhash64("leaf", "at", "token").alias("spot"))
+    constant = spots.groupBy("spot").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("spot")
+    fixed = spots.select("lid", "at", "spot").join(constant, "spot", "left_semi").groupBy("lid").agg(F.collect_set("at").alias("fixed"))
+    words = F.split("line", " ", -1)
+    made = alike.select("lid", "line").join(fixed, "lid")
+    made = made.where(F.size("fixed") >= F.lit(LEAST_CONSTANT) * F.size(words))
+    template = F.array_join(F.transform(words, lambda t, i: F.when(F.array_contains("fixed", i), t).otherwise(F.lit(WILD))), " ")
+    found = shared.select("key", "line_no", "lid").join(made.select("lid", template.alias("template")), "lid")
+    docs_of = found.groupBy("template").agg(F.count_distinct("key.h").alias("n_docs")).where(F.col("n_docs") >= LEAST_DOCS)
+    return found.join(docs_of, "template").select("key", "line_no", "template", "n_docs")
 
 
 def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
