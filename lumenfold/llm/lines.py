@@ -16,20 +16,23 @@ MOST_BROADCAST = 2_000_000  # leaves of several documents up to which their hash
 LEAST_CONSTANT = 0.6  # share of a template's tokens that have to be constant
 
 
-def masked(line: Column) -> Column:
-    """The line's tokens joined by single blanks; tokens with a digit are <*>."""
-    plain = F.when(line.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)
-    plain = F.trim(plain)
+def masked(text: Column) -> Column:
+    """The text with single blanks between tokens of a line; tokens with a digit are <*>."""
+    plain = F.when(text.rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(text)
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<!\S)(?=\S*[0-9])\S++", WILD)).otherwise(plain)
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(key, line_no, line, leaf): masked lines of LEAST_TOKENS tokens or more and their leaf."""
-    body = F.split(text_or_empty(text), "\n", -1)
-    rows = docs.select(F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("h")).alias("key"), F.posexplode(body).alias("line_no", "line"))
-    rows = rows.select("key", "line_no", masked(F.col("line")).alias("line"))
-    tokens = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return rows.withColumn("tokens", tokens).where(F.col("tokens") >= LEAST_TOKENS).select("key", "line_no", "line", F.xxhash64("tokens", F.substring_index("line", " ", LEADING)).alias("leaf"))
+    """(key, line_no, line, leaf): masked lines of LEAST_TOKENS tokens or more and their leaf.
+
+    Texts are masked as a whole, before they are cut: once a text, not once for each use of a line.
+    """
+    body = F.split(masked(text_or_empty(text)), "\n", -1)
+    rows = docs.select(F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("h")).alias("key"), F.posexplode(body).alias("line_no", "raw"))
+    line = F.trim("raw")
+    tokens = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    leaf = F.xxhash64(tokens, F.substring_index(line, " ", LEADING))
+    return rows.where(tokens >= LEAST_TOKENS).select("key", "line_no", line.alias("line"), leaf.alias("leaf"))
 
 
 def line_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
