@@ -47,15 +47,16 @@ def line_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     LEAST_TOKENS tokens never match. Copies of a whole text count as one document:
     they are for the exact deduplication to remove.
 
-    Leaves that lie in one document alone, which hold most of the text, are left out
-    by a first pass that shuffles hashes alone. The others' hashes (8 bytes each) are
+    The leading tokens of a leaf are the same in all its lines, so no template reaches
+    over leaves: those of fewer than LEAST_DOCS documents, which hold most of the text,
+    are left out by a first pass that shuffles hashes alone. The others' hashes (8 bytes each) are
     broadcast up to ``most_broadcast`` of them; beyond, lines are shuffled by leaf.
     Token counts go by hashes, so line texts aren't shuffled with their tokens.
     """
     require(docs, doc_id, text)
     lines = _lines(docs, doc_id, text)
-    leaves = lines.groupBy("leaf").agg(F.min("key.h").alias("a"), F.max("key.h").alias("b")).where("a <> b").select("leaf")
-    leaves = cut(leaves)
+    holders = lines.select("leaf", F.col("key.h").alias("doc")).distinct()
+    leaves = cut(holders.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS).select("leaf"))
     side = F.broadcast(leaves) if leaves.count() <= most_broadcast else leaves
     shared = lines.join(side, "leaf", "left_semi").select("key", "line_no", "leaf", "line", F.xxhash64("leaf", "line").alias("lid"))
     shared = stored(shared, "lines", compression="zstd")
