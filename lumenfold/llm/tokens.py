@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import require, shared_path, text_or_empty
 
 ID = np.dtype("<u4")
-CACHED = 1_200_000  # pieces held by a Python worker; beyond that the cache starts anew
+CACHED = 250_000  # pieces (about 200 bytes each) in each of a worker's two caches; beyond that a cache starts anew
 LONGEST = 48  # characters of a piece that is worth holding
 #: White space but single blanks and line feeds, or two such in a row. U+180E counts
 #: as white space in older Unicode tables.
