@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import require, shared_path, text_or_empty
 
 ID = np.dtype("<u4")
-CACHED = 250_000  # pieces (about 200 bytes each) in each of a worker's two caches; beyond that a cache starts anew
+CACHED = 200_000  # pieces (about 200 bytes each) in a generation of each of a worker's two caches
 LONGEST = 48  # characters of a piece that is worth holding
 #: White space but single blanks and line feeds, or two such in a row. U+180E counts
 #: as white space in older Unicode tables.
@@ -39,18 +39,29 @@ _ALPHABET = _byte_alphabet()
 
 
 class _Pieces(dict[str, bytes]):
-    """The ids of the pieces seen so far; long ones aren't held."""
+    """The ids of the pieces seen of late; long ones aren't held.
+
+    A full generation becomes the old one, and what is used of it moves on to the
+    next, so frequent pieces stay and at most two generations are held.
+    """
 
     def __init__(self, encode: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, dict[str, bytes]()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece)
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
         if len(piece) <= LONGEST:
             self[piece] = ids
         return ids
 
+    def age(self) -> None:
+        if len(self) > CACHED:
+            self.old = dict(self)
+            self.clear()
+
 
 class PieceEncoder:
     """Encodes texts like the tokenizer itself, but each distinct piece once.
@@ -104,8 +115,7 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         for known in (self.bare, self.led):
-            if len(known) > CACHED:
-                known.clear()
+            known.age()
         bare, led, out = self.bare.__getitem__, self.led.__getitem__, []
         for text in texts:
             if not self.byte_level:

@@ -106,6 +106,16 @@ def test_tokens(spark):
         start += len(ids)
 
 
+def test_pieces_outlive_a_generation(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED", 3)
+    made = []
+    pieces = tokens._Pieces(lambda p: made.append(p) or p.encode())
+    for n in range(20):
+        pieces.age()
+        assert [pieces[p] for p in ("often", f"a{n}", f"b{n}")] == [b"often", b"a%d" % n, b"b%d" % n]
+    assert made.count("often") == 1 and len(pieces) + len(pieces.old) <= 4 * 3
+
+
 def test_packing(spark, odd):
     from tokenizers import Tokenizer
 
