@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from struct import pack
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,10 @@ LONGEST = 48  # characters of a piece that is worth holding
 _ODD = re.compile(r"[^\S \n]|᠎|\s\s")
 _ODD_ASCII = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 _SAFE = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
-#: Letters alone, which both vocabularies keep as one word, in any Unicode version.
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Letters, which both vocabularies keep as one word in any Unicode version, and then
+#: ASCII marks, which they keep as another; an apostrophe may begin a word of its own.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_PACKED = [Struct(f"<{n}I").pack for n in range(4 * LONGEST)]  # a character gives four ids at most
 
 
 def _byte_alphabet() -> dict[int, int]:
@@ -45,16 +47,30 @@ class _Pieces(dict[str, bytes]):
     next, so frequent pieces stay and at most two generations are held.
     """
 
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
+    def __init__(self, word: Callable[[str], bytes], whole: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.encode, self.old = encode, dict[str, bytes]()
+        self.word, self.whole, self.old, self.marks = word, whole, dict[str, bytes](), dict[str, bytes]()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = self.encode(piece)
-        if len(piece) <= LONGEST:
+        if (ids := self.old.get(piece)) is not None:
             self[piece] = ids
+            return ids
+        if len(piece) > LONGEST:
+            return self.whole(piece)
+        found = _PLAIN.fullmatch(piece)
+        if found is None:
+            ids = self[piece] = self.whole(piece)
+            return ids
+        body, tail = found.groups()
+        if not tail:
+            ids = self[body] = self.word(body)
+            return ids
+        # A word's first sight with marks holds the word alone, a later one the whole piece.
+        known = self.get(body) or self.old.get(body)
+        if known is None:
+            known = self[body] = self.word(body)
+            return known + self.marks[tail]
+        ids = self[piece] = known + self.marks[tail]
         return ids
 
     def age(self) -> None:
@@ -63,6 +79,18 @@ class _Pieces(dict[str, bytes]):
             self.clear()
 
 
+class _Marks(dict[str, bytes]):
+    """The ids of runs of marks that follow words."""
+
+    def __init__(self, whole: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.whole = whole
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self[run] = self.whole(run)
+        return ids
+
+
 class PieceEncoder:
     """Encodes texts like the tokenizer itself, but each distinct piece once.
 
@@ -85,27 +113,25 @@ class PieceEncoder:
         self.byte_level = kind == "ByteLevel"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.word = self.tokenizer.model.tokenize
-        self.bare, self.led = _Pieces(self._piece), _Pieces(lambda p: self._piece(p, "Ġ", " "))
+        self.merge = self.tokenizer.model.tokenize
+        self.bare = _Pieces(self._word, self._whole)
+        self.led = _Pieces(lambda w: self._word(w, "Ġ"), lambda p: self._whole(" " + p))
+        # Marks after a word never follow a blank, so both caches share them.
+        self.bare.marks = self.led.marks = _Marks(self._whole)
         self.feed = self._whole("\n")
-        self.marks = {m: self._whole(m) for m in ".,"}
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return pack(f"<{len(ids)}I", *ids)
-
-    def _piece(self, piece: str, mark: str = "", lead: str = "") -> bytes:
-        tail = self.marks.get(piece[-1:], b"")
-        body = piece[:-1] if tail else piece
-        if len(piece) > LONGEST or not _PLAIN.fullmatch(body):
-            return self._whole(lead + piece)
-        # A word of letters goes to the vocabulary's merges at once.
+        return np.array(ids, dtype=ID).tobytes()
+
+    def _word(self, word: str, mark: str = "") -> bytes:
+        """A word of letters goes to the vocabulary's merges at once."""
         if not self.byte_level:
-            body = body.lower()
-        if not body.isascii():
-            body = body.encode().decode("latin-1").translate(_ALPHABET)
-        ids = [t.id for t in self.word(mark + body)]
-        return pack(f"<{len(ids)}I", *ids) + tail
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_ALPHABET)
+        ids = [t.id for t in self.merge(mark + word)]
+        return _PACKED[len(ids)](*ids)
 
     def _odd(self, text: str) -> bool:
         if text.isascii():
@@ -116,6 +142,8 @@ class PieceEncoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         for known in (self.bare, self.led):
             known.age()
+        if len(self.led.marks) > CACHED:
+            self.led.marks.clear()
         bare, led, out = self.bare.__getitem__, self.led.__getitem__, []
         for text in texts:
             if not self.byte_level:
