@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import require, shared_path, text_or_empty
 
 ID = np.dtype("<u4")
-CACHED = 200_000  # pieces (about 200 bytes each) in a generation of each of a worker's two caches
+CACHED = 300_000  # pieces (about 200 bytes each) in a generation of each of a worker's two caches
 LONGEST = 48  # characters of a piece that is worth holding
-#: White space but single blanks and line feeds, or two such in a row. U+180E counts
-#: as white space in older Unicode tables.
-_ODD = re.compile(r"[^\S \n]|᠎|\s\s")
-_ODD_ASCII = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
+#: White space but blanks and line feeds. U+180E counts as white space in older Unicode tables.
+_ODD = re.compile(r"[^\S \n]")
+_ODD_PAIRS = ("  ", "\n\n", " \n", "\n ", "᠎")
+_ODD_ASCII = (*_ODD_PAIRS[:4], *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 _SAFE = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
 #: Letters, which both vocabularies keep as one word in any Unicode version, and then
 #: ASCII marks, which they keep as another; an apostrophe may begin a word of its own.
@@ -136,7 +136,7 @@ class PieceEncoder:
     def _odd(self, text: str) -> bool:
         if text.isascii():
             return any(x in text for x in _ODD_ASCII)
-        return _ODD.search(text) is not None
+        return any(x in text for x in _ODD_PAIRS) or _ODD.search(text) is not None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -164,7 +164,7 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterable[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that their texts hold about ``most`` bytes at once."""
     for batch in batches:
         step = max(1, int(batch.num_rows * most / max(1, batch.column(column).nbytes)))
