@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import require, shared_path, text_or_empty
 
 ID = np.dtype("<u4")
-CACHED = 300_000  # pieces (about 200 bytes each) in a generation of each of a worker's two caches
+CACHED = 450_000  # pieces (about 200 bytes each) in a generation of each of a worker's two caches
 LONGEST = 48  # characters of a piece that is worth holding
 #: White space but blanks and line feeds. U+180E counts as white space in older Unicode tables.
 _ODD = re.compile(r"[^\S \n]")
@@ -104,14 +104,11 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str) -> None:
-        import json
-
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        with open(path, encoding="utf-8") as f:
-            kind = json.load(f)["pre_tokenizer"]["type"]
-        self.byte_level = kind == "ByteLevel"
         self.tokenizer = Tokenizer.from_file(path)
+        self.byte_level = isinstance(self.tokenizer.pre_tokenizer, ByteLevel)
         self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
         self.bare = _Pieces(self._word, self._whole)
