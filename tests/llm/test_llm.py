@@ -109,7 +109,8 @@ def test_tokens(spark):
 def test_pieces_outlive_a_generation(monkeypatch):
     monkeypatch.setattr(tokens, "CACHED", 3)
     made = []
-    pieces = tokens._Pieces(lambda p: made.append(p) or p.encode())
+    encode = lambda p: made.append(p) or p.encode()
+    pieces = tokens._Pieces(encode, encode)  # words and other pieces
     for n in range(20):
         pieces.age()
         assert [pieces[p] for p in ("often", f"a{n}", f"b{n}")] == [b"often", b"a%d" % n, b"b%d" % n]
