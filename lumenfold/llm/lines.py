@@ -11,6 +11,8 @@ WILD = "<*>"
 LEADING = 3  # leading tokens in a leaf's path, below the token count
 LEAST_TOKENS = 3
 LEAST_DOCS = 3  # documents that a template has to recur in
+LONG_TOKENS = 10  # tokens of a line from which LONG_DOCS documents are enough: it hardly recurs by chance
+LONG_DOCS = 2
 CONSTANT_DOCS = 2  # documents of the leaf that must share a token at its place, or it is a variable
 MOST_BROADCAST = 2_000_000  # leaves of several documents up to which their hashes are broadcast
 LEAST_CONSTANT = 0.6  # share of a template's tokens that have to be constant
@@ -31,10 +33,15 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = docs.select(F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("h")).alias("key"), F.posexplode(body).alias("line_no", "raw"))
     line = F.trim("raw")
     tokens = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    leaf = F.xxhash64(tokens, F.substring_index(line, " ", LEADING))
+    # The last bit of a leaf's hash tells long lines.
+    leaf = F.xxhash64(tokens, F.substring_index(line, " ", LEADING)).bitwiseAND(F.lit(-2)).bitwiseOR((tokens >= LONG_TOKENS).cast("long"))
     return rows.where(tokens >= LEAST_TOKENS).select("key", "line_no", line.alias("line"), leaf.alias("leaf"))
 
 
+def _least(long: Column) -> Column:
+    return F.when(long, LONG_DOCS).otherwise(LEAST_DOCS)
+
+
 def line_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(key, line_no, template, n_docs) of the lines whose template recurs.
 
@@ -43,12 +50,12 @@ def line_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     leaf, a token is constant if CONSTANT_DOCS documents of the leaf have it at its
     place; other places are generalised to <*>. Lines with the same count and the
     same tokens after that share a template. It recurs if LEAST_DOCS distinct
-    documents have it and LEAST_CONSTANT of its tokens are constant. Lines of under
-    LEAST_TOKENS tokens never match. Copies of a whole text count as one document:
+    documents have it (LONG_DOCS if it has LONG_TOKENS tokens or more) and
+    LEAST_CONSTANT of its tokens are constant. Lines of under LEAST_TOKENS tokens never match. Copies of a whole text count as one document:
     they are for the exact deduplication to remove.
 
     The leading tokens of a leaf are the same in all its lines, so no template reaches
-    over leaves: those of fewer than LEAST_DOCS documents, which hold most of the text,
+    over leaves: those of too few documents, which hold most of the text,
     are left out by a first pass that shuffles hashes alone. The others' hashes (8 bytes each) are
     broadcast up to ``most_broadcast`` of them; beyond, lines are shuffled by leaf.
     Token counts go by hashes, so line texts aren't shuffled with their tokens.
@@ -56,7 +63,7 @@ def line_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     require(docs, doc_id, text)
     lines = _lines(docs, doc_id, text)
     holders = lines.select("leaf", F.col("key.h").alias("doc")).distinct()
-    leaves = cut(holders.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS).select("leaf"))
+    leaves = cut(holders.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= _least(F.col("leaf").bitwiseAND(F.lit(1)) == 1)).select("leaf"))
     side = F.broadcast(leaves) if leaves.count() <= most_broadcast else leaves
     shared = lines.join(side, "leaf", "left_semi").select("key", "line_no", "leaf", "line", F.xxhash64("leaf", "line").alias("lid"))
     shared = stored(shared, "lines", compression="zstd")
@@ -72,7 +79,7 @@ def line_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     made = made.where(F.size("fixed") >= F.lit(LEAST_CONSTANT) * F.size(words))
     template = F.array_join(F.transform(words, lambda t, i: F.when(F.array_contains("fixed", i), t).otherwise(F.lit(WILD))), " ")
     found = shared.select("key", "line_no", "lid").join(made.select("lid", template.alias("template")), "lid")
-    docs_of = found.groupBy("template").agg(F.count_distinct("key.h").alias("n_docs")).where(F.col("n_docs") >= LEAST_DOCS)
+    docs_of = found.groupBy("template").agg(F.count_distinct("key.h").alias("n_docs")).where(F.col("n_docs") >= _least(F.size(F.split("template", " ", -1)) >= LONG_TOKENS))
     return found.join(docs_of, "template").select("key", "line_no", "template", "n_docs")
 
 
