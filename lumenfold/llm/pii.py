@@ -22,8 +22,12 @@ PATTERNS = {
 NEEDED = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _PART = "0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 
-#: Unseen identifiers: white-space-free tokens with a digit.
-TOKEN = r"(?<!\S)(?=\S*[0-9])\S++"
+#: Candidates for unseen identifiers: up to 8 tokens with a digit with single blanks between them, or
+#: a token without one that has @, . or _ between letters. (The bound keeps the regex from deep recursion.)
+TOKEN = r"(?<!\S)(?:(?=\S*[0-9])\S++(?:\x20(?=\S*[0-9])\S++){0,7}+|(?=\S*[\p{L}\p{N}][@._]\p{L})\S++)"
+MASK = "\uffff"  # stands for the characters of base matches where candidates are looked for
+NEAR = 256  # characters beside a base match in which its neighbour words are looked for
+LEAST_CHARS = 6  # of a candidate
 ROUNDS = 3
 LEAST_SEEDS = 5  # distinct seed instances that a pattern needs
 CONFIDENT = 0.9
@@ -89,27 +93,65 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _blanked(text: Column) -> Column:
+    return F.translate(text, "\t\n\u000b\f\r", "     ")
+
+
+def _last_word(text: Column) -> Column:
+    """The word before an instance; opening brackets and quotes at the instance aren't part of it."""
+    return F.lower(F.substring_index(F.rtrim(F.regexp_replace(_blanked(text), r"[(\[<\x22']++$", "")), " ", -1))
+
+
+def _first_word(text: Column) -> Column:
+    """The word after an instance; punctuation at the instance isn't part of it."""
+    return F.lower(F.substring_index(F.ltrim(F.regexp_replace(_blanked(text), r"^[^\p{L}\p{N}\x20]++", "")), " ", 1))
+
+
+def _seeds(text: Column, base: Column) -> Column:
+    """Array of (start, end, value, left, right, seed): each base match and the words beside it."""
+
+    def row(b: Column) -> Column:
+        at = F.greatest(b["start"] - F.lit(NEAR), F.lit(0))
+        before, after = F.substr(text, at + F.lit(1), b["start"] - at), F.substr(text, b["end"] + F.lit(1), F.lit(NEAR))
+        return F.struct(b["start"].alias("start"), b["end"].alias("end"), b["value"].alias("value"), _last_word(before).alias("left"), _first_word(after).alias("right"), F.lit(True).alias("seed"))
+
+    return F.transform(base, row)
+
+
+def _masked(text: Column, base: Column) -> Column:
+    """The text with MASK for each character of a base match."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, b: Column) -> Column:
+        start, end = F.greatest(s["at"], b["start"]), F.greatest(s["at"], b["end"])
+        parts = F.array(F.substr(text, s["at"] + F.lit(1), start - s["at"]), F.repeat(F.lit(MASK), end - start))
+        return F.struct(end.alias("at"), F.concat(s["out"], parts).alias("out"))
+
+    whole = F.aggregate(base, zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + F.lit(1), F.length(text))))
+    return F.when(F.size(base) > 0, whole).otherwise(text)
+
+
 def _tokens(text: Column) -> Column:
-    """Array of (start, end, value, left, right): tokens with a digit and the words beside them.
+    """Array of (start, end, value, left, right, seed): candidates and the words beside them.
 
-    Trailing punctuation isn't part of the value. The neighbours are looked for
-    within 64 characters of the text between two such tokens.
+    Trailing punctuation isn't part of the value. The neighbours are words of the
+    text between two candidates.
     """
     values = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     gaps = F.split(text, TOKEN, -1)
     n = F.size(values)
-    before = F.transform(F.slice(gaps, F.lit(1), n), lambda g: F.struct(F.length(g).alias("gap"), F.lower(F.regexp_extract(F.right(g, F.lit(64)), r"(\S+)\s*$", 1)).alias("left")))
-    after = F.transform(F.slice(gaps, F.lit(2), n), lambda g: F.lower(F.regexp_extract(F.left(g, F.lit(64)), r"^\s*(\S+)", 1)))
+    before = F.transform(F.slice(gaps, F.lit(1), n), lambda g: F.struct(F.length(g).alias("gap"), _last_word(g).alias("left")))
+    after = F.transform(F.slice(gaps, F.lit(2), n), _first_word)
     rows = F.arrays_zip(before.alias("b"), values.alias("v"), after.alias("r"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string,seed:boolean>>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + x["b"]["gap"]
         core = F.regexp_replace(x["v"], r"[^\p{L}\p{N}]+$", "")
-        row = F.struct(start.alias("start"), (start + F.length(core)).alias("end"), core.alias("value"), x["b"]["left"].alias("left"), x["r"].alias("right"))
+        row = F.struct(start.alias("start"), (start + F.length(core)).alias("end"), core.alias("value"), x["b"]["left"].alias("left"), x["r"].alias("right"), F.lit(False).alias("seed"))
         return F.struct((start + F.length(x["v"])).alias("at"), F.concat(s["out"], F.array(row)).alias("out"))
 
-    return F.aggregate(rows, zero, step)["out"]
+    return F.filter(F.aggregate(rows, zero, step)["out"], lambda t: (F.length(t["value"]) >= LEAST_CHARS) & ~F.contains(t["value"], F.lit(MASK)))
 
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,9 +160,10 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     base holds the matches of the four patterns that pass their check, leftmost
     and non-overlapping per kind; a failing match is dropped without a retry.
 
-    added holds spans of kind "id" that bootstrapping finds. Instances are
-    white-space-free tokens with at least 6 characters and 4 digits. Those that
-    overlap a base match are seeds. A lexical pattern is the word on the left or on
+    added holds spans of kind "id" that bootstrapping finds. Each base match is, as a
+    whole, a seed instance, of whatever kind. The other instances are candidates
+    outside of base matches: groups of tokens with a digit, and tokens without one
+    that have @, . or _ inside. A lexical pattern is the word on the left or on
     the right of an instance, in lower case. The bipartite graph of patterns and
     distinct instances is scored in ROUNDS rounds: a pattern's score is the mean of
     its instances' scores (seeds have 1, others 0 at first) and counts if it has
@@ -134,13 +177,13 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     require(docs, doc_id, text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     # Texts are read once: only spans and tokens, a small share of the text, are kept.
-    found = rows.select("doc_id", F.xxhash64("text").alias("h"), base_spans(F.col("text")).alias("base"), F.when(F.col("text").rlike("[0-9]"), _tokens(F.col("text"))).alias("tokens"))
-    found = cut(found)
-    overlaps = F.exists("base", lambda b: (b["start"] < F.col("t.end")) & (b["end"] > F.col("t.start")))
-    tokens = found.where("size(tokens) > 0").select("doc_id", "h", "base", F.explode("tokens").alias("t")).select("doc_id", "h", "t.*", overlaps.alias("seed"))
-    tokens = tokens.where((F.length("value") >= 6) & (F.length(_digits(F.col("value"))) >= 4))
+    # Texts are read once: only spans and instances, a small share of the text, are kept.
+    whole_text = F.col("text")
+    made = F.transform(F.array(base_spans(whole_text)), lambda b: F.struct(b.alias("base"), F.concat(_seeds(whole_text, b), _tokens(_masked(whole_text, b))).alias("tokens")))
+    found = cut(rows.select("doc_id", F.xxhash64("text").alias("h"), made.alias("made"))).select("doc_id", "h", F.col("made")[0]["base"].alias("base"), F.col("made")[0]["tokens"].alias("tokens"))
+    tokens = found.where("size(tokens) > 0").select("doc_id", "h", F.explode("tokens").alias("t")).select("doc_id", "h", "t.*")
     sides = F.explode(F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("R "), "right"))).alias("pattern")
-    edges = cut(tokens.select("value", "seed", sides).where("length(pattern) > 2").groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
+    edges = cut(tokens.select("value", "seed", sides).where((F.length("pattern") > 2) & ~F.contains("pattern", F.lit(MASK))).groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
     scores = edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"), F.max("seed").alias("seed"))
     for _ in range(ROUNDS):
         # Each side is aggregated before it is joined: a frequent word is one row.
