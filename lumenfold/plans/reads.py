@@ -21,7 +21,7 @@ from lumenfold.plans.registry import query, table
     SELECT *, CAST(row_number() OVER (ORDER BY hotness DESC, articles DESC, label, lang) AS INTEGER) AS rank FROM r"""
 )
 def hot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-061 to O-063, O-094, O-145, O-185: features of clusters, ranked. A cluster is one row, so the rank's window is small."""
+    """O-061, O-062, O-094, O-185: features of clusters, ranked. A cluster is one row, so the rank's window is small."""
     joined = table(spark, sf_dir, "embeddings").join(table(spark, sf_dir, "documents"), F.col("doc_id") == F.col("vec_id")).join(table(spark, sf_dir, "events"), F.col("event_id") == F.col("doc_id"))
     groups = joined.groupBy("label", "lang").agg(F.count(F.lit(1)).alias("articles"), F.count_distinct("source").alias("sources"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
     span = moments.span_hours(F.col("first_at"), F.col("last_at"))
@@ -90,7 +90,7 @@ def admission_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, lang FROM d QUALIFY row_number() OVER (PARTITION BY lang ORDER BY draw, doc_id) <= 20"""
 )
 def trial_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-178, O-268, O-280: a seeded sample of each group (the sample is the feature)."""
+    """O-178: a seeded sample of each group (the sample is the feature)."""
     return relational.seeded_sample(table(spark, sf_dir, "documents"), ["lang"], "doc_id", "trial", 20).select("doc_id", "lang")
 
 
@@ -193,7 +193,7 @@ def rule_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CAST(threshold AS DOUBLE) AS threshold, tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM m"""
 )
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-136, O-269, O-270: 51 thresholds over scored rows, by cumulative counts instead of a product of rows and thresholds."""
+    """51 thresholds over scored rows, by cumulative counts instead of a product of rows and thresholds."""
     s = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select("toxic", ((F.col("n_chars") % 1000) / 1000.0).alias("p"))
     # A row counts as positive for the thresholds up to its score: one bucket a row, then sums from above.
     bucket = F.floor(F.col("p") * 50 + 1e-9).cast("int")
@@ -318,7 +318,7 @@ def signal_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT user_id, n, round(least(100.0, 0.55 * least(100.0, m) + 0.18 * t), 4) AS shock FROM f"""
 )
 def event_shock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-070, O-071, O-149, O-245: decayed intensities blended into one shock."""
+    """O-071, O-149, O-245: decayed intensities blended into one shock."""
     e = table(spark, sf_dir, "events").where("ts < timestamp '2024-02-01'")
     age = F.datediff(F.expr("date '2024-01-31'"), F.to_date("ts"))
     f = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("m"), F.sum(F.col("value") * score.recency_weight(age)).alias("t"))

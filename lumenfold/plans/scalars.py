@@ -102,7 +102,7 @@ def phrase_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM e"""
 )
 def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-060, O-066 to O-068: bands, logistic baseline, weighted components."""
+    """O-060, O-066, O-068: bands, plain logistic baseline, weighted components."""
     v = F.col("value")
     s = score.clamp(v, 0.0, 100.0)
     parts = {"probability_score": s, "impact_score": score.clamp(v / 2, 0.0, 100.0), "urgency_score": score.clamp(v / 3, 0.0, 100.0), "evidence_strength": F.lit(50.0), "model_consensus": F.lit(80.0)}
