@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder.
 
-    Only a session without one (a local test) gets a temporary folder.
+    A local session without one (a test) gets a temporary folder; a cluster's has to name it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lumenfold-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -41,6 +43,60 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one job in a folder of their own, deleted as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self.nth = spark, shared_path(spark, name), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Writes ``df`` as Parquet and reads it back."""
+        self.nth += 1
+        at = f"{self.path}/{self.nth}"
+        df.write.option("compression", "lz4").parquet(at)
+        kept = self.spark.read.schema(df.schema).parquet(at)
+        kept.kept_at = at
+        return kept
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            delete(self.spark, table.kept_at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a finished table by the file system that holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+HOT_ROWS = 1_000  # rows of a key from which it is hot, in a table of fewer than 100 million rows
+MOST_HOT = 100_000  # hot keys at most: they are broadcast
+
+
+def join_hot_apart(many: DataFrame, one: DataFrame, key: str, rows: str, total: int) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has each key once and its number of rows in ``many``.
+
+    A key with very many rows would fill one task. There are at most MOST_HOT keys
+    with over total / MOST_HOT rows each, so those of ``one`` are broadcast, and the
+    others are joined by a shuffle. ``many`` is read twice and has to be a written table.
+    """
+    least = max(HOT_ROWS, total // MOST_HOT)
+    hot, rest = F.broadcast(one.where(F.col(rows) > least)), one.where(F.col(rows) <= least)
+    names = F.broadcast(one.where(F.col(rows) > least).select(key))
+    return many.join(hot, key).unionByName(many.join(names, key, "left_anti").join(rest, key))
+
+
+def row_key(doc_id: str, text: str) -> list[Column]:
+    """(doc_id, h): what tells documents apart; ids may repeat or be null."""
+    return [F.col(doc_id).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("h")]
+
+
+def without(docs: DataFrame, dropped: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` without the rows whose (doc_id, h) is in ``dropped``; a null doc_id is a value like others."""
+    gone = dropped.select(F.col("doc_id").alias("__dropped"), F.col("h").alias("__h")).distinct()
+    return docs.join(gone, docs[doc_id].eqNullSafe(gone["__dropped"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == gone["__h"]), "left_anti")
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -49,7 +49,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact.exact_groups(table(spark, sf_dir, "documents"), exact.new_index(spark, "digests"))
+    """A fresh index that three ranges of doc_id are added to; it is dropped once the groups are written."""
+    index = exact.new_index(spark, "digests")
+    found = exact.exact_groups(table(spark, sf_dir, "documents"), index, parts=3)
+    index.drop()
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -67,7 +70,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    found = lines.drop_repeated_lines(table(spark, sf_dir, "documents"), least_tokens=1)
     return found.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.llm.common import cut, require
+from lumenfold.llm.common import cut, join_hot_apart, require, row_key, without
 from lumenfold.llm.components import component_labels
 
 SHINGLE = 4
@@ -116,7 +116,7 @@ def near_links(fps: DataFrame, prefilter: bool = True) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp (signed long), component_id.
+    """One row per row of ``docs``: doc_id, h, fp (signed long), component_id.
 
     component_id is the least doc_id that is reachable by links, itself included.
     Null and empty texts and texts without words have fingerprint 0 and link like
@@ -126,20 +126,23 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     require(docs, doc_id, text)
     # Only ids and fingerprints are kept: texts are read once.
-    known = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text)).alias("fp")))
-    firsts = known.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    firsts = cut(firsts)
+    known = cut(docs.select(*row_key(doc_id, text), fingerprint_column(F.col(text)).alias("fp")))
+    firsts = cut(known.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     labels = component_labels(near_links(firsts.select("fp")))
     named = firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    return known.join(named.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = cut(named)
+    least = named.groupBy("label").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    least, total = cut(least), known.count()
+    of_fp = cut(join_hot_apart(named, least, "label", "members", total).select("fp", "n", "component_id"))
+    return join_hot_apart(known, of_fp, "fp", "n", total).select("doc_id", "h", "fp", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one of the least doc_id.
 
-    All columns stay as they are; rows with a null doc_id stay.
+    All columns stay as they are. Of the component's rows, those with that doc_id
+    stay, repeated ones too; rows of one doc_id whose texts are in different
+    components are judged apart; rows with a null doc_id stay.
     """
     found = simhash_components(docs, doc_id, text)
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs[doc_id] == dropped["__dropped"], "left_anti")
+    return without(docs, found.where("doc_id <> component_id"), doc_id, text)
