@@ -6,17 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import ascii_lower, cut, require, text_or_empty
+from lumenfold.llm.common import Scratch, ascii_lower, cut, require, row_key, text_or_empty, without
 
 WINDOW = 10
 SHINGLE = 3
 #: Windows of the benchmark up to which it is broadcast (about 150 MB); beyond, both sides are shuffled.
 MOST_BROADCAST = 500_000
+MOST_DOCS = 1_000_000  # documents with a candidate window up to which their keys are broadcast
+
+
+#: ASCII characters that no word has, one by one: Java looks such a class up in a table, ranges are tried in turn.
+_GAPS = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isdigit() and not chr(c).islower())
 
 
 def words(text: Column) -> Column:
     """Runs of digits, a-z and characters beyond ASCII, after lower-casing A-Z."""
-    return F.regexp_extract_all(ascii_lower(text), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    return F.regexp_extract_all(ascii_lower(text), F.lit(f"[^{_GAPS}]++"), F.lit(0))
 
 
 def _shingles(ws: Column, n: int) -> Column:
@@ -50,21 +55,6 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, item_id: str =
     return items.select("item_id", F.explode("cuts").alias("words")).distinct().select("item_id", "words", F.size("words").alias("n"), F.least(F.size("words"), F.lit(SHINGLE)).alias("shingle_n"))
 
 
-def _doc_shingles(rows: DataFrame, kept: list[str], sizes: list[int]) -> DataFrame:
-    """(columns of ``kept``, at, shingle_n, h) for each shingle of each document.
-
-    The hashes are a column before they are exploded: so the explode and a broadcast
-    join behind it are compiled together, and the words (ws) aren't copied for rows
-    that the join drops.
-    """
-    out = None
-    for n in sizes:
-        hashed = rows.select("*", _once(words(F.col("text")), hashes=lambda ws: _shingles(ws, n)))  # noqa: B023
-        part = hashed.select(*kept, F.posexplode("hashes").alias("at", "h")).withColumn("shingle_n", F.lit(n))
-        out = part if out is None else out.union(part)
-    return out
-
-
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -79,27 +69,28 @@ def contamination(
     holds the items with an occurring window, sorted as strings. Rows with the same
     doc_id and text share their result; null texts and ids are allowed (no words).
 
-    1. The windows' shingles (3 words; fewer in shorter windows) are counted in the
-       documents, which orders them by rarity.
-    2. A window must be contained whole, so its prefix is its rarest shingle alone:
-       document shingles join on it, not on all of them.
+    1. Documents are cut into words once. Their shingles (3 words; fewer in shorter
+       windows) that a window has are written with their places, next to one row a document.
+    2. Counts of these in all documents order a window's shingles by rarity. A window must
+       be contained whole, so its prefix is its rarest shingle alone: documents are joined
+       on it, not on all of them.
     3. Bounds: the shingle's place in the window fixes where the window would start;
        it has to start in the document and end in it.
-    4. Verification compares all words of the window there.
+    4. Verification compares all words of the window there, in the documents that are left.
 
-    The documents' words stay where they are: only matches are shuffled. A benchmark
-    of over ``most_broadcast`` windows isn't broadcast; then shingles are shuffled and
-    matches are joined back to the documents by key.
+    A benchmark of over ``most_broadcast`` windows isn't broadcast: shingles are shuffled
+    then, and documents are cut once more for their word counts.
     """
     require(docs, doc_id, text)
-    source = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
-    rows = source.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
+    none = F.array().cast("array<string>")
+    rows = docs.select(F.struct(*row_key(doc_id, text)).alias("key"), text_or_empty(text).alias("text"))
     windows = cut(benchmark_windows(benchmark, window))
     sized = windows.groupBy("shingle_n").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a shingle size
     sizes, total = sorted(r["shingle_n"] for r in sized), sum(r["n"] for r in sized)
-    counted = rows.select("key", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    n_words = F.size("ws").cast("long").alias("n_words")
     if not sizes:
-        return counted.select("key.doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"), F.lit(False).alias("contaminated"))
+        counted = rows.select("key", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+        return counted.select("key.doc_id", "key.h", "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("item_ids"), F.lit(False).alias("contaminated"))
     small = total <= most_broadcast
     side = F.broadcast if small else (lambda df: df)
 
@@ -109,29 +100,42 @@ def contamination(
         part = windows.where(F.col("shingle_n") == n)
         part = part.select("*", F.posexplode(_shingles(F.col("words"), n)).alias("place", "h"))
         hashed = part if hashed is None else hashed.union(part)
-    lookup = side(hashed.select("shingle_n", "h").distinct())
-    seen = _doc_shingles(rows, [], sizes).select("shingle_n", "h").join(lookup, ["shingle_n", "h"]).groupBy("shingle_n", "h").agg(F.count(F.lit(1)).alias("df"))
-    ranked = hashed.join(seen, ["shingle_n", "h"])
+    scratch = Scratch(docs.sparkSession, "shingles")
+    lookup = hashed.select("h").distinct()
+    first = F.array(F.lit(0).cast("long"))  # stands for the document itself
+    cut_up = rows.select("key", _once(words(F.col("text")), hashes=lambda ws: F.concat(first, *[_shingles(ws, n) for n in sizes])))
+    dealt = cut_up.select("key", n_words, F.posexplode("hashes").alias("pos", "h"))
+    if small:
+        known = lookup.union(docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("h"))).distinct()
+        seen = dealt.join(F.broadcast(known), "h").where("h <> 0 or pos = 0")
+    else:
+        seen = dealt.where("pos > 0").join(lookup, "h").unionByName(dealt.where("pos = 0"))
+    seen = scratch.keep(seen.select("key", "n_words", "pos", "h"))
+    matches = seen.where("pos > 0")
+    df = matches.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     # A window with a shingle that no document has can't occur: it has fewer counted shingles than places.
     by = W.partitionBy("item_id", "words")
-    prefix = ranked.withColumns(
-        {"found": F.count(F.lit(1)).over(by), "nth": F.row_number().over(by.orderBy("df", "place"))}
-    ).where((F.col("nth") == 1) & (F.col("found") == F.col("n") - F.col("shingle_n") + 1))
+    prefix = hashed.join(df, "h").withColumns({"found": F.count(F.lit(1)).over(by), "nth": F.row_number().over(by.orderBy("df", "place"))})
+    prefix = prefix.where((F.col("nth") == 1) & (F.col("found") == F.col("n") - F.col("shingle_n") + 1))
     prefix = cut(prefix.select("item_id", "words", "n", "shingle_n", "place", "h"))
-    shingles = _doc_shingles(rows, ["key", "ws"] if small else ["key"], sizes)
-    start = (F.col("at") - F.col("place")).alias("start")
-    if small:
-        met = shingles.join(F.broadcast(prefix), ["shingle_n", "h"])
-        bound = (F.col("at") >= F.col("place")) & (F.col("at") - F.col("place") + F.col("n") <= F.size("ws"))
-        hits = met.where(bound & (F.slice("ws", F.col("at") - F.col("place") + 1, F.col("n")) == F.col("words"))).select("key", start, "n", "item_id")
-    else:
-        met = shingles.select("key", "at", "shingle_n", "h").join(prefix, ["shingle_n", "h"]).where("at >= place")
-        met = met.select("key", start, "n", "item_id", "words").distinct()
-        again = met.join(rows.dropDuplicates(["key"]).select("key", words(F.col("text")).alias("ws")), "key")
-        hits = again.where((F.col("start") + F.col("n") <= F.size("ws")) & (F.slice("ws", F.col("start") + 1, F.col("n")) == F.col("words"))).select("key", "start", "n", "item_id")
-    per_item = hits.groupBy("key", "start", "n").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    spans = F.array_sort(F.collect_list(F.struct("start", "n")))
-    per_doc = per_item.groupBy("key").agg(spans.alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("item_ids"))
+
+    # A position counts the document's own row first, then the shingles of each size in turn.
+    skipped, begin = F.lit(1), F.lit(1)
+    for n in sizes:
+        begin = F.when(F.col("shingle_n") == n, skipped).otherwise(begin)
+        skipped = skipped + F.greatest(F.col("n_words") - F.lit(n - 1), F.lit(0))
+    start = (F.col("pos") - begin - F.col("place")).cast("int").alias("start")
+    met = matches.join(side(prefix), "h").select("key", "n_words", start, "n", "words", "item_id")
+    met = met.where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words")))
+    met = met.groupBy("key").agg(F.collect_set(F.struct("start", "n", "words", F.col("item_id").cast("string").alias("item"))).alias("met"))
+    met, holders = scratch.keep(met), rows.dropDuplicates(["key"])
+    if met.count() <= MOST_DOCS:
+        holders = rows.join(F.broadcast(met.select("key")), "key", "left_semi").dropDuplicates(["key"])
+
+    def checked(ws: Column) -> Column:
+        hits = F.filter("met", lambda m: F.slice(ws, m["start"] + 1, m["n"]) == m["words"])
+        return F.array_sort(F.transform(hits, lambda m: F.struct(m["start"].alias("start"), m["n"].alias("n"), m["item"].alias("item"))))
+
     zero = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).alias("upto"))
 
     def cover(s: Column, x: Column) -> Column:
@@ -139,19 +143,26 @@ def contamination(
         new = F.greatest(end - F.greatest(s["upto"], x["start"]), F.lit(0)).cast("long")
         return F.struct((s["hit"] + new).alias("hit"), F.greatest(s["upto"], end).alias("upto"))
 
-    per_doc = per_doc.select("key", F.aggregate("spans", zero, cover)["hit"].alias("n_hit"), "item_ids")
-    found = counted.join(per_doc, "key", "left")
+    per_doc = holders.join(met, "key").select("key", _once(words(F.col("text")), hits=checked)).where(F.size("hits") > 0)
+    items = F.sort_array(F.array_distinct(F.transform("hits", lambda m: m["item"])))
+    per_doc = scratch.keep(per_doc.select("key", F.aggregate("hits", zero, cover)["hit"].alias("n_hit"), items.alias("item_ids")))
+    scratch.drop(met)
+    found = seen.where("pos = 0").select("key", "n_words").join(per_doc, "key", "left")
     return found.select(
         "key.doc_id",
+        "key.h",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
+        F.coalesce("item_ids", none).alias("item_ids"),
         F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents that contain a benchmark window; all columns stay."""
+    """``docs`` without the documents that contain a benchmark window; all columns stay.
+
+    Rows are judged by doc_id and text together: of rows that repeat a doc_id only
+    the contaminated ones go, and a row with a null doc_id goes like any other.
+    """
     found = contamination(docs, benchmark, window, doc_id, text)
-    dropped = found.where("contaminated").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs[doc_id] == dropped["__dropped"], "left_anti")
+    return without(docs, found.where("contaminated"), doc_id, text)
