@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from os.path import commonprefix
 from struct import Struct
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import require, shared_path, text_or_empty
 
 ID = np.dtype("<u4")
-CACHED = 450_000  # pieces (about 200 bytes each) in a generation of each of a worker's two caches
+CACHED = 400_000  # pieces (about 200 bytes each) in a generation of a worker's main cache
 LONGEST = 48  # characters of a piece that is worth holding
 #: White space but blanks and line feeds. U+180E counts as white space in older Unicode tables.
 _ODD = re.compile(r"[^\S \n]")
@@ -47,9 +48,9 @@ class _Pieces(dict[str, bytes]):
     next, so frequent pieces stay and at most two generations are held.
     """
 
-    def __init__(self, word: Callable[[str], bytes], whole: Callable[[str], bytes]) -> None:
+    def __init__(self, word: Callable[[str], bytes], whole: Callable[[str], bytes], most: int) -> None:
         super().__init__()
-        self.word, self.whole, self.old, self.marks = word, whole, dict[str, bytes](), dict[str, bytes]()
+        self.most, self.word, self.whole, self.old, self.marks = most, word, whole, dict[str, bytes](), dict[str, bytes]()
 
     def __missing__(self, piece: str) -> bytes:
         if (ids := self.old.get(piece)) is not None:
@@ -74,7 +75,7 @@ class _Pieces(dict[str, bytes]):
         return ids
 
     def age(self) -> None:
-        if len(self) > CACHED:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
 
@@ -101,6 +102,8 @@ class PieceEncoder:
       word; a line feed between two other characters is a word of its own. Texts
       with other white space are cut only at blanks between two other characters.
     - words: white space is dropped, so blanks and line feeds are cuts.
+
+    Strings of special tokens inside a text are encoded as the library does by default.
     """
 
     def __init__(self, path: str) -> None:
@@ -109,10 +112,12 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.byte_level = isinstance(self.tokenizer.pre_tokenizer, ByteLevel)
-        self.tokenizer.encode_special_tokens = True
+        #: What all strings of special tokens begin with: a text that has it is left to the library as a whole.
+        self.special = commonprefix([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
         self.merge = self.tokenizer.model.tokenize
-        self.bare = _Pieces(self._word, self._whole)
-        self.led = _Pieces(lambda w: self._word(w, "Ġ"), lambda p: self._whole(" " + p))
+        # At byte level only the first word of a line has no blank before it.
+        self.bare = _Pieces(self._word, self._whole, CACHED // 8 if self.byte_level else CACHED)
+        self.led = _Pieces(lambda w: self._word(w, "Ġ"), lambda p: self._whole(" " + p), CACHED)
         # Marks after a word never follow a blank, so both caches share them.
         self.bare.marks = self.led.marks = _Marks(self._whole)
         self.feed = self._whole("\n")
@@ -143,6 +148,9 @@ class PieceEncoder:
             self.led.marks.clear()
         bare, led, out = self.bare.__getitem__, self.led.__getitem__, []
         for text in texts:
+            if self.special and self.special in text:
+                out.append(self._whole(text))
+                continue
             if not self.byte_level:
                 out.append(b"".join(map(bare, text.replace("\n", " ").split(" "))))
                 continue

@@ -94,8 +94,7 @@ def test_tokens(spark):
     for name, end in (("byte_bpe_50k.json", 0), ("word_bpe_49k.json", 2)):
         path = queries.tokenizer_path(name)
         plain, ours = Tokenizer.from_file(path), tokens.PieceEncoder(path)
-        plain.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
-        some = [t for _, t in texts(spark)[:60]] + [t or "" for t in ODD] + ["  a\n b ", "don't we'll 1 234", "é́ ́x", "x\x1cy z", "İ ΣΑΣ", "<|endoftext|> a"]
+        some = [t for _, t in texts(spark)[:60]] + [t or "" for t in ODD] + ["  a\n b ", "don't we'll 1 234", "é́ ́x", "x\x1cy z", "İ ΣΑΣ", "<|endoftext|> a", "a<|ENDOFTEXT|>b <|startoftext|>\n<|endoftext|>", "<| a |>"]
         for t, ids in zip(some, ours.encode(some), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
     got = queries.op2_tokens(spark, DATA).orderBy("doc_id").collect()
@@ -106,17 +105,39 @@ def test_tokens(spark):
         start += len(ids)
 
 
-def test_pieces_outlive_a_generation(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHED", 3)
+def test_pieces_outlive_a_generation():
     made = []
     encode = lambda p: made.append(p) or p.encode()
-    pieces = tokens._Pieces(encode, encode)  # words and other pieces
+    pieces = tokens._Pieces(encode, encode, 3)  # words and other pieces
     for n in range(20):
         pieces.age()
         assert [pieces[p] for p in ("often", f"a{n}", f"b{n}")] == [b"often", b"a%d" % n, b"b%d" % n]
     assert made.count("often") == 1 and len(pieces) + len(pieces.old) <= 4 * 3
 
 
+def test_token_files(spark, odd, none, tmp_path):
+    """Encodings, page indexes, a read of the metadata alone, and nulls, repeats and empty tables."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "odd")
+    tokens.write_tokens(odd, queries.tokenizer_path("byte_bpe_50k.json"), path)
+    groups = [pq.ParquetFile(f).metadata.row_group(0) for f in glob.glob(f"{path}/tokens/*.parquet") if pq.ParquetFile(f).metadata.num_rows]
+    for group in groups:
+        columns = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+        assert "DELTA_BINARY_PACKED" in columns["n_tokens"].encodings and "RLE_DICTIONARY" in columns["tokens.list.element"].encodings
+        assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+    counts = tokens.read_tokens(spark, path, ("doc_id", "n_tokens"))
+    assert ",tokens" not in counts._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    rows = tokens.read_tokens(spark, path).orderBy("start").collect()
+    assert len(rows) == len(ODD) + 2 and rows[0].doc_id is None and [r.start for r in rows] == list(np.cumsum([0, *(r.n_tokens for r in rows)])[:-1])
+    assert [r.n_tokens for r in rows if r.doc_id == 1] == [1, 1] and all(len(r.tokens) == r.n_tokens and r.tokens[-1] == 0 for r in rows)
+    tokens.write_tokens(none, queries.tokenizer_path("byte_bpe_50k.json"), str(tmp_path / "none"))
+    assert tokens.read_tokens(spark, str(tmp_path / "none")).count() == 0
+    assert packing.pack(none, queries.tokenizer_path("word_bpe_49k.json")).count() == 0
+
+
 def test_packing(spark, odd):
     from tokenizers import Tokenizer
 
@@ -250,6 +271,3 @@ def test_pipeline_stages_keep_columns(spark):
         docs = out
     kept = {r.doc_id: r.text for r in docs.collect()}
     assert len(set(kept.values())) == len(kept) > 100
-    prints = {i: plain_fingerprint(t) for i, t in kept.items()}
-    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
-    assert not near
