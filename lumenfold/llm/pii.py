@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import cut, require, text_or_empty
+from lumenfold.llm.common import Scratch, join_hot_apart, require, row_key, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -25,27 +27,60 @@ _PART = "0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 #: Candidates for unseen identifiers: up to 8 tokens with a digit with single blanks between them, or
 #: a token without one that has @, . or _ between letters. (The bound keeps the regex from deep recursion.)
 TOKEN = r"(?<!\S)(?:(?=\S*[0-9])\S++(?:\x20(?=\S*[0-9])\S++){0,7}+|(?=\S*[\p{L}\p{N}][@._]\p{L})\S++)"
+MAY_HOLD = r"[0-9@_]|\.\p{L}"  # what a text with a candidate holds
 MASK = "\uffff"  # stands for the characters of base matches where candidates are looked for
-NEAR = 256  # characters beside a base match in which its neighbour words are looked for
 LEAST_CHARS = 6  # of a candidate
-ROUNDS = 3
-LEAST_SEEDS = 5  # distinct seed instances that a pattern needs
-CONFIDENT = 0.9
+ROUNDS = 5
+LEAST_SEEDS = 5  # distinct accepted instances that a pattern needs
+CONFIDENT = 0.75  # share of a pattern's distinct instances that have to be accepted
+BLOCK = 256  # matches whose lengths are summed up together
+_SPANS = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the value, which is computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _starts(lengths: Column) -> Column:
+    """Sums of all lengths before each, by blocks: a text may have very many matches."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
+    at = F.sequence(F.lit(0), F.size(lengths) - 1)
+    blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int"))
+
+    def of_blocks(sums: Column) -> Column:
+        offsets = F.transform(blocks, lambda b: total(F.slice(sums, F.lit(1), b)))
+
+        def one(i: Column, offs: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            return F.get(offs, block) + total(F.slice(lengths, block * BLOCK + 1, i - block * BLOCK))
+
+        return _let(offsets, lambda offs: F.transform(at, lambda i: one(i, offs)))
+
+    return F.when(F.size(lengths) > 0, _let(F.transform(blocks, lambda b: total(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))), of_blocks)).otherwise(F.array().cast("array<int>"))
 
 
 def _spans(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of the pattern's matches, in code points."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    """Array of (start, end, value, left, right) of the pattern's matches, in code points, with the words beside them.
+
+    The words are looked for between one match and the next, so a text takes linear time.
+    """
+    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + x["gap"]
-        end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+    def rows(x: Column) -> Column:
+        n = F.size(x["values"])
+        sizes = F.zip_with(F.slice(x["gaps"], F.lit(1), n), x["values"], lambda g, v: F.length(g) + F.length(v))
+        before = F.transform(F.slice(x["gaps"], F.lit(1), n), lambda g: F.struct(F.length(g).alias("gap"), _last_word(g).alias("left")))
+        after = F.transform(F.slice(x["gaps"], F.lit(2), n), _first_word)
+        zipped = F.arrays_zip(_let(sizes, _starts).alias("at"), before.alias("b"), x["values"].alias("v"), after.alias("r"))
 
-    pairs = F.zip_with(gaps, values, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value")))
-    return F.aggregate(F.filter(pairs, lambda p: p["value"].isNotNull()), zero, step)["out"]
+        def row(z: Column) -> Column:
+            start = z["at"] + z["b"]["gap"]
+            return F.struct(start.alias("start"), (start + F.length(z["v"])).alias("end"), z["v"].alias("value"), z["b"]["left"].alias("left"), z["r"].alias("right"))
+
+        return F.when(n > 0, F.transform(zipped, row)).otherwise(F.array().cast(_SPANS))
+
+    return _let(F.struct(gaps.alias("gaps"), values.alias("values")), rows)
 
 
 def _digits(value: Column) -> Column:
@@ -74,18 +109,21 @@ def _passes(kind: str, value: Column) -> Column:
     return F.when(n.between(14, 19), luhn(_digits(value))).otherwise(False)
 
 
+_BASE = "array<struct<start:int,rank:int,kind:string,end:int,value:string,left:string,right:string>>"
+
+
 def _kind_spans(text: Column, kind: str, rank: int) -> Column:
     may = F.contains(text, F.lit(NEEDED[kind])) if NEEDED[kind] else text.rlike(r"[0-9][\x20-]?[0-9]")
     found = F.filter(_spans(text, PATTERNS[kind]), lambda s: _passes(kind, s["value"]))
 
     def named(s: Column) -> Column:
-        return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["value"].alias("value"))
+        return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), *[s[c].alias(c) for c in ("end", "value", "left", "right")])
 
-    return F.when(may, F.transform(found, named)).otherwise(F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>"))
+    return F.when(may, F.transform(found, named)).otherwise(F.array().cast(_BASE))
 
 
 def base_spans(text: Column) -> Column:
-    """Array of (start, rank, kind, end, value), by start and then kind as listed."""
+    """Array of (start, rank, kind, end, value, left, right), by start and then kind as listed."""
     return F.array_sort(F.concat(*[_kind_spans(text, kind, rank) for rank, kind in enumerate(KINDS)]))
 
 
@@ -107,51 +145,57 @@ def _first_word(text: Column) -> Column:
     return F.lower(F.substring_index(F.ltrim(F.regexp_replace(_blanked(text), r"^[^\p{L}\p{N}\x20]++", "")), " ", 1))
 
 
-def _seeds(text: Column, base: Column) -> Column:
-    """Array of (start, end, value, left, right, seed): each base match and the words beside it."""
+def _mask_kind(text: Column, base: Column, kind: str) -> Column:
+    def covered(x: Column) -> Column:
+        parts = F.zip_with(x["gaps"], x["values"], lambda g, v: F.concat(g, F.when(v.isNull(), "").when(_passes(kind, v), F.repeat(F.lit(MASK), F.length(v))).otherwise(v)))
+        return F.array_join(parts, "")
 
-    def row(b: Column) -> Column:
-        at = F.greatest(b["start"] - F.lit(NEAR), F.lit(0))
-        before, after = F.substr(text, at + F.lit(1), b["start"] - at), F.substr(text, b["end"] + F.lit(1), F.lit(NEAR))
-        return F.struct(b["start"].alias("start"), b["end"].alias("end"), b["value"].alias("value"), _last_word(before).alias("left"), _first_word(after).alias("right"), F.lit(True).alias("seed"))
+    def one(t: Column) -> Column:
+        halves = F.struct(F.split(t, PATTERNS[kind], -1).alias("gaps"), F.regexp_extract_all(t, F.lit(PATTERNS[kind]), F.lit(0)).alias("values"))
+        return F.when(F.exists(base, lambda b: b["kind"] == kind), _let(halves, covered)).otherwise(t)
 
-    return F.transform(base, row)
+    return _let(text, one)
 
 
 def _masked(text: Column, base: Column) -> Column:
     """The text with MASK for each character of a base match."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    for kind in KINDS:
+        text = _mask_kind(text, base, kind)
+    return text
 
-    def step(s: Column, b: Column) -> Column:
-        start, end = F.greatest(s["at"], b["start"]), F.greatest(s["at"], b["end"])
-        parts = F.array(F.substr(text, s["at"] + F.lit(1), start - s["at"]), F.repeat(F.lit(MASK), end - start))
-        return F.struct(end.alias("at"), F.concat(s["out"], parts).alias("out"))
 
-    whole = F.aggregate(base, zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + F.lit(1), F.length(text))))
-    return F.when(F.size(base) > 0, whole).otherwise(text)
+def _tokens(text: Column) -> Column:
+    """Array of (start, end, value, left, right): candidates and the words beside them. Trailing punctuation isn't part of the value."""
 
+    def row(s: Column) -> Column:
+        core = F.regexp_replace(s["value"], r"[^\p{L}\p{N}]+$", "")
+        return F.struct(s["start"].alias("start"), (s["start"] + F.length(core)).alias("end"), core.alias("value"), s["left"].alias("left"), s["right"].alias("right"))
 
-def _tokens(text: Column) -> Column:
-    """Array of (start, end, value, left, right, seed): candidates and the words beside them.
+    found = F.filter(F.transform(_spans(text, TOKEN), row), lambda t: (F.length(t["value"]) >= LEAST_CHARS) & ~F.contains(t["value"], F.lit(MASK)))
+    return F.when(text.rlike(MAY_HOLD), found).otherwise(F.array().cast(_SPANS))
 
-    Trailing punctuation isn't part of the value. The neighbours are words of the
-    text between two candidates.
-    """
-    values = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    gaps = F.split(text, TOKEN, -1)
-    n = F.size(values)
-    before = F.transform(F.slice(gaps, F.lit(1), n), lambda g: F.struct(F.length(g).alias("gap"), _last_word(g).alias("left")))
-    after = F.transform(F.slice(gaps, F.lit(2), n), _first_word)
-    rows = F.arrays_zip(before.alias("b"), values.alias("v"), after.alias("r"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string,seed:boolean>>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + x["b"]["gap"]
-        core = F.regexp_replace(x["v"], r"[^\p{L}\p{N}]+$", "")
-        row = F.struct(start.alias("start"), (start + F.length(core)).alias("end"), core.alias("value"), x["b"]["left"].alias("left"), x["r"].alias("right"), F.lit(False).alias("seed"))
-        return F.struct((start + F.length(x["v"])).alias("at"), F.concat(s["out"], F.array(row)).alias("out"))
+def accepted_instances(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """The values that bootstrapping accepts. ``edges`` (pattern, value, seed) has each pair once.
 
-    return F.filter(F.aggregate(rows, zero, step)["out"], lambda t: (F.length(t["value"]) >= LEAST_CHARS) & ~F.contains(t["value"], F.lit(MASK)))
+    A pattern's score is the accepted share of its distinct instances; it counts from
+    LEAST_SEEDS accepted ones on. An instance's score is the best of its patterns'; at
+    CONFIDENT it is accepted, and then supports its other patterns in the next round.
+    There are ROUNDS rounds, or fewer if nothing is accepted any more.
+    """
+    state, total = scratch.keep(edges.withColumnRenamed("seed", "accepted")), edges.count()
+    for _ in range(ROUNDS):
+        scored = state.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_if("accepted").alias("n_accepted"))
+        good = scratch.keep(scored.where((F.col("n_accepted") >= LEAST_SEEDS) & (F.col("n_accepted") >= CONFIDENT * F.col("n"))).select("pattern", "n"))
+        # A frequent word's edges are split off the join; a value has two edges for each pair of words beside it.
+        new = scratch.keep(join_hot_apart(state.where(~F.col("accepted")), good, "pattern", "n", total).select("value").distinct())
+        if new.isEmpty():
+            break
+        later = state.join(new.withColumn("now", F.lit(True)), "value", "left").select("pattern", "value", (F.col("accepted") | F.coalesce("now", F.lit(False))).alias("accepted"))
+        later = scratch.keep(later)
+        scratch.drop(state, good, new)
+        state = later
+    return state.where("accepted").select("value").distinct()
 
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,42 +208,41 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     whole, a seed instance, of whatever kind. The other instances are candidates
     outside of base matches: groups of tokens with a digit, and tokens without one
     that have @, . or _ inside. A lexical pattern is the word on the left or on
-    the right of an instance, in lower case. The bipartite graph of patterns and
-    distinct instances is scored in ROUNDS rounds: a pattern's score is the mean of
-    its instances' scores (seeds have 1, others 0 at first) and counts if it has
-    LEAST_SEEDS seeds; an instance's score is the best of its patterns' times 0.95
-    a round. Instances at CONFIDENT or more are identifiers, and so are all their
-    occurrences that overlap no base match.
+    the right of an instance, in lower case. The graph of patterns and distinct
+    instances is scored in rounds, see :func:`accepted_instances`; all occurrences of
+    accepted instances are identifiers, where they overlap no base match.
 
     Null texts count as empty and have no spans; rows with the same doc_id and text
-    share theirs; a null doc_id is allowed. Other columns aren't read.
+    share theirs; a null doc_id is allowed. Other columns aren't read. An empty table
+    gives an empty table.
     """
     require(docs, doc_id, text)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
-    # Texts are read once: only spans and tokens, a small share of the text, are kept.
+    scratch = Scratch(docs.sparkSession, "pii")
+    body = text_or_empty(text)
+    made = F.transform(F.array(base_spans(body)), lambda b: F.struct(b.alias("base"), _let(_masked(body, b), _tokens).alias("tokens")))
     # Texts are read once: only spans and instances, a small share of the text, are kept.
-    whole_text = F.col("text")
-    made = F.transform(F.array(base_spans(whole_text)), lambda b: F.struct(b.alias("base"), F.concat(_seeds(whole_text, b), _tokens(_masked(whole_text, b))).alias("tokens")))
-    found = cut(rows.select("doc_id", F.xxhash64("text").alias("h"), made.alias("made"))).select("doc_id", "h", F.col("made")[0]["base"].alias("base"), F.col("made")[0]["tokens"].alias("tokens"))
-    tokens = found.where("size(tokens) > 0").select("doc_id", "h", F.explode("tokens").alias("t")).select("doc_id", "h", "t.*")
+    found = scratch.keep(docs.select(*row_key(doc_id, text), made[0].alias("made")).select("doc_id", "h", "made.*"))
+    row = F.struct("doc_id", "h").alias("key")
+    tokens = found.select(row, F.explode("tokens").alias("t")).select("key", "t.*")
+    seeds = found.select(F.explode("base").alias("t")).select("t.value", "t.left", "t.right", F.lit(True).alias("seed"))
+    both = seeds.unionByName(tokens.select("value", "left", "right", F.lit(False).alias("seed")))
     sides = F.explode(F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("R "), "right"))).alias("pattern")
-    edges = cut(tokens.select("value", "seed", sides).where((F.length("pattern") > 2) & ~F.contains("pattern", F.lit(MASK))).groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
-    scores = edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"), F.max("seed").alias("seed"))
-    for _ in range(ROUNDS):
-        # Each side is aggregated before it is joined: a frequent word is one row.
-        rated = edges.select("pattern", "value").join(scores, "value")
-        patterns = rated.groupBy("pattern").agg(F.avg("score").alias("p"), F.count_if("seed").alias("n")).where(F.col("n") >= LEAST_SEEDS)
-        best = edges.select("pattern", "value").join(patterns, "pattern").groupBy("value").agg((F.max("p") * 0.95).alias("best"))
-        scores = scores.select("value", "seed", "score").join(best, "value", "left").select(
-            "value", "seed", F.greatest("score", F.coalesce("best", F.lit(0.0))).alias("score")
-        )
-        scores = cut(scores)
-    new = scores.where((F.col("score") >= CONFIDENT) & ~F.col("seed")).select("value")
-    hit = tokens.where(~F.col("seed")).join(new, "value", "left_semi").distinct()
+    edges = both.select("value", "seed", sides).where((F.length("pattern") > 2) & ~F.contains("pattern", F.lit(MASK)))
+    edges = scratch.keep(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
+    accepted = accepted_instances(edges, scratch)
+    counts = tokens.groupBy("value").agg(F.count(F.lit(1)).alias("rows"))
+    new = scratch.keep(counts.join(accepted, "value"))
+    hit = join_hot_apart(tokens, new, "value", "rows", tokens.count())
     span = F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.lit("id").alias("kind"), F.col("end"), F.col("value"))
-    added = hit.groupBy(F.struct("doc_id", "h").alias("key")).agg(F.array_sort(F.collect_set(span)).alias("added"))
-    whole = found.select(F.struct("doc_id", "h").alias("key"), "base").join(added, "key", "left")
-    return whole.select("key.doc_id", "base", F.coalesce("added", F.slice("base", F.lit(1), F.lit(0))).alias("added"))
+    added = hit.groupBy("key").agg(F.array_sort(F.collect_set(span)).alias("added"))
+    base = F.transform("base", lambda b: F.struct(*[b[c].alias(c) for c in ("start", "rank", "kind", "end", "value")]))
+    whole = found.select(row, base.alias("base")).join(added, "key", "left")
+    # Only where base matches overlap each other can a rest of one be a candidate.
+    ends = F.slice(F.transform("base", lambda b: b["end"]), F.lit(1), F.size("base") - 1)
+    mixed = F.when(F.size("base") > 1, F.exists(F.zip_with(ends, F.slice("base", F.lit(2), F.size("base") - 1), lambda e, b: e > b["start"]), lambda x: x)).otherwise(False)
+    apart = F.filter("added", lambda a: ~F.exists("base", lambda b: (b["start"] < a["end"]) & (a["start"] < b["end"])))
+    apart = F.when(F.col("added").isNotNull() & mixed, apart).otherwise(F.col("added"))
+    return whole.select("key.doc_id", "base", F.coalesce(apart, F.slice("base", F.lit(1), F.lit(0))).alias("added"))
 
 
 def pii_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,5 +1,7 @@
 """Base matches of all shapes teach the contexts of unseen identifiers."""
 
+import random
+
 from lumenfold.llm import pii
 
 
@@ -17,3 +19,42 @@ def test_whole_matches_are_seeds(spark):
     got = {r.doc_id: r.spans for r in pii.pii_digests(docs).collect()}
     assert got[0] == "email:14:26" and got[200].startswith("card:16:35")
     assert (got[50], got[51], got[52]) == ("id:14:30", "id:16:28", "")
+
+
+def test_found_identifiers_teach_new_patterns(spark):
+    rows = [(i, f"call desk +1 (555) 100-{1000 + i} now") for i in range(60)]
+    rows += [(100 + i, f"call desk 555-200-{7000 + i} ext") for i in range(10)] + [(200, "via 555-300-9999 ext"), (201, "in 2024/11/05 we met")]
+    got = {r.doc_id: r.spans for r in pii.pii_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[103] == "id:10:22" and got[200] == "id:4:16" and got[201] == ""
+
+
+def plain_accepted(edges):
+    accepted = {v for _, v, seed in edges if seed}
+    for _ in range(pii.ROUNDS):
+        of = {}
+        for p, v, _ in edges:
+            of.setdefault(p, set()).add(v)
+        good = {p for p, vs in of.items() if len(vs & accepted) >= pii.LEAST_SEEDS and len(vs & accepted) >= pii.CONFIDENT * len(vs)}
+        accepted |= {v for p, v, _ in edges if p in good}
+    return accepted
+
+
+def test_accepted_like_plain(spark, monkeypatch):
+    from lumenfold.llm import common
+
+    rng = random.Random(5)
+    edges = {(f"p{(n := rng.randrange(300)) // 12 + rng.choice([0, 0, 0, 1])}", f"v{n}") for _ in range(900)}
+    seeds = {f"v{n}" for n in range(300) if rng.random() < (0.9 if n < 60 else 0.3)}
+    edges = [(p, v, v in seeds) for p, v in sorted(edges)]
+    wanted = plain_accepted(edges)
+    assert len(seeds & {v for _, v, _ in edges}) < len(wanted) < 300
+    frame = spark.createDataFrame(edges, "pattern string, value string, seed boolean")
+    for hot in (1_000, 5):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        assert {r.value for r in pii.accepted_instances(frame, common.Scratch(spark, "test")).collect()} == wanted
+
+
+def test_very_many_matches_in_one_text(spark):
+    many = " ".join(f"n{i}@x{i % 7}.org {10_000_000 + i}" for i in range(50_000))
+    got = pii.find_pii(spark.createDataFrame([(1, many)], "doc_id long, text string")).collect()[0]
+    assert len(got.base) == 50_000 and all(many[b.start : b.end] == b.value for b in got.base[::997])
