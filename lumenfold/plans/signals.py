@@ -117,7 +117,7 @@ def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     WITH w AS (SELECT user_id, event_id, event_type, value, ts, lag(event_type) OVER u AS pt, lag(value) OVER u AS pv, lag(ts) OVER u AS pts FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id))
-    SELECT event_id, round((0.4e0 * CAST(event_type = pt AS INTEGER) + CASE WHEN value IS NULL OR pv IS NULL THEN 0 ELSE 0.35e0 * greatest(0.0e0, 1 - abs(value - pv) / 100) END
+    SELECT event_id, round((0.4e0 * CAST(event_type = pt AS INTEGER) + CASE WHEN value IS NULL OR pv IS NULL THEN 0 ELSE 0.35e0 * exp(-abs(value - pv) / 100) END
       + 0.25e0 * CAST(CAST(ts AS DATE) = CAST(pts AS DATE) AS INTEGER)) / (0.65e0 + CASE WHEN value IS NULL OR pv IS NULL THEN 0 ELSE 0.35e0 END) * CASE WHEN event_type = pt THEN 1 ELSE 0.55e0 END, 6) AS similarity
     FROM w WHERE pt IS NOT NULL"""
 )
@@ -126,7 +126,7 @@ def field_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").withColumns({f"p_{c}": F.lag(c).over(w) for c in ("event_type", "value", "ts")}).where("p_event_type is not null")
     both, same = F.col("value").isNotNull() & F.col("p_value").isNotNull(), F.col("event_type") == F.col("p_event_type")
-    close = F.when(both, 0.35 * F.greatest(F.lit(0.0), 1 - F.abs(F.col("value") - F.col("p_value")) / 100)).otherwise(0.0)
+    close = F.when(both, 0.35 * F.exp(-F.abs(F.col("value") - F.col("p_value")) / 100)).otherwise(0.0)
     got = 0.4 * same.cast("int") + close + 0.25 * (F.to_date("ts") == F.to_date("p_ts")).cast("int")
     return e.select("event_id", F.round(got / (0.65 + F.when(both, 0.35).otherwise(0.0)) * F.when(same, 1.0).otherwise(0.55), 6).alias("similarity"))
 
