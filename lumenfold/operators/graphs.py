@@ -27,10 +27,11 @@ def follow_redirects(starts: DataFrame, edges: DataFrame, most_hops: int = 16) -
 
 
 def parent_exposure(edges: DataFrame, most_levels: int = 4) -> DataFrame:
-    """(origin, parent, confidence, depth): the best path to each parent; confidences multiply.
+    """(origin, parent, confidence, depth): the best path to each parent; confidences multiply, a null one counts as 1.
 
     ``edges`` (child, parent, confidence). Paths don't visit a node twice.
     """
+    edges = edges.withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))
     level = edges.select(F.col("child").alias("origin"), "parent", F.col("confidence"), F.lit(1).alias("depth"), F.array("child", "parent").alias("path"))
     found = level
     for _ in range(most_levels - 1):

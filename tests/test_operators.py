@@ -76,3 +76,10 @@ def test_lifecycle():
     scores = [(0, 90.0), (1, 20.0), (8, 20.0), (8.5, 90.0), (10, 90.0), (9, 1.0), (10, 1.0)]
     out = list(fold([(i, day + timedelta(days=d), s) for i, (d, s) in enumerate(scores)], AlertState()))
     assert [r[1] for r in out] == ["opened", "downgraded", "resolved", "cooldown", "opened", "late", "replay"]
+
+
+def test_unknown_confidence_counts_as_one(spark):
+    from lumenfold.operators.graphs import parent_exposure
+
+    edges = spark.createDataFrame([("a", "b", None), ("b", "c", 0.5), ("a", "c", 0.4)], "child string, parent string, confidence double")
+    assert {tuple(r) for r in parent_exposure(edges).collect()} == {("a", "b", 1.0, 1), ("b", "c", 0.5, 1), ("a", "c", 0.5, 2)}
