@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import chat, decontam, exact, lines, packing, pii, quality, sharding, simhash, tokens
+from lumenfold.llm import chat, decontam, exact, lines, packing, pii, quality, sharding, simhash, tokens, variants
 from lumenfold.session import with_workers
 
 
@@ -80,10 +80,14 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "contaminated")
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_simhash, op2_tokens, op3_chat, op4_quality, op5_exact, op6_packing, op7_pii, op8_sharding, op9_lines, op10_decontam)
+        for f in (op1_simhash, op2_tokens, op3_chat, op4_quality, op5_exact, op6_packing, op7_pii, op8_sharding, op9_lines, op10_decontam, op11_variants)
     }
 
 
