@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import chat, decontam, exact, lines, packing, pii, quality, sharding, simhash, tokens, variants
+from lumenfold.llm import chat, decontam, exact, lines, packing, pieces, pii, quality, sharding, simhash, tokens, variants
 from lumenfold.session import with_workers
 
 
@@ -84,10 +84,14 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variant_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_simhash, op2_tokens, op3_chat, op4_quality, op5_exact, op6_packing, op7_pii, op8_sharding, op9_lines, op10_decontam, op11_variants)
+        for f in (op1_simhash, op2_tokens, op3_chat, op4_quality, op5_exact, op6_packing, op7_pii, op8_sharding, op9_lines, op10_decontam, op11_variants, op13_pieces)
     }
 
 
