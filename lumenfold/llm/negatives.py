@@ -213,8 +213,9 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _read(batches: Iterable[pa.RecordBatch], dims: int, most: int, same: bool) -> Iterator[pa.RecordBatch]:
-    """The first ``most`` rows of one block for each of its queries."""
+    """The first ``most`` rows for each query, of all the blocks that one batch reads for it."""
     for batch in batches:
+        found = [np.zeros((4, 0), np.int64)]
         for i in range(batch.num_rows):
             q = _queries(batch.column("queries"), i, dims)
             ids, labels = batch.column("ids")[i].values.to_numpy(), batch.column("labels")[i].values.to_numpy()
@@ -222,16 +223,20 @@ def _read(batches: Iterable[pa.RecordBatch], dims: int, most: int, same: bool) -
             fits = ((labels[None, :] == q["label"][:, None]) == same) & (ids[None, :] != q["rid"][:, None])
             fits &= (score >= q["low"][:, None]) & (score <= q["high"][:, None])
             fits &= (score > q["least_score"][:, None]) | ((score == q["least_score"][:, None]) & (ids[None, :] <= q["least_id"][:, None]))
-            order = np.argsort(ids, kind="stable")
-            rows, columns = [], []
-            for k in np.flatnonzero(fits.any(1)):
-                among = order[fits[k, order]]
-                first = among[np.argsort(-score[k, among], kind="stable")[:most]]
-                rows.append(np.full(len(first), k))
-                columns.append(first)
-            if rows:
-                r, c = np.concatenate(rows), np.concatenate(columns)
-                yield pa.RecordBatch.from_arrays([pa.array(q["rid"][r]), pa.array(q["slot"][r]), pa.array(score[r, c]), pa.array(ids[c])], ["rid", "slot", "score", "vec_id"])
+            row, column = np.nonzero(fits)
+            found.append(_firsts(np.stack((q["rid"][row], q["slot"][row].astype(np.int64), score[row, column], ids[column])), most))
+        merged = _firsts(np.concatenate(found, 1), most)
+        if merged.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(merged[0]), pa.array(merged[1].astype(np.int32)), pa.array(merged[2]), pa.array(merged[3])], ["rid", "slot", "score", "vec_id"])
+
+
+def _firsts(rows: np.ndarray, most: int) -> np.ndarray:
+    """Of (rid, slot, score, id) columns the first ``most`` of each (rid, slot): by the higher score, then the smaller id."""
+    rows = rows[:, np.lexsort((rows[3], ~rows[2], rows[1], rows[0]))]  # ~x turns the order of longs round without overflow
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
+    begins = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)) if len(new) else np.zeros(0, np.int64)
+    return rows[:, np.arange(len(new)) - begins < most]
 
 
 def _needed(batches: Iterable[pa.RecordBatch], dims: int, same: bool) -> Iterator[pa.RecordBatch]:
