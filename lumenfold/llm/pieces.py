@@ -9,18 +9,23 @@ merges themselves are the library's.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenfold.llm.common import require
 from lumenfold.llm.tokens import small_batches
 
 SPACE = "▁"  # U+2581 stands for a blank
-LONGEST = 1 << 16  # characters from which a text is encoded in segments
+CACHED = 300_000  # words (about 150 bytes each) from which a worker's cache starts anew
+LONGEST = 48  # characters of a word that is worth holding
+ID = np.dtype("<i4")
+_CUTS = re.compile(f"(?s)(?<=[^ {SPACE}]) (?=.)")
 ENCODED = "doc_id {doc_id}, ids array<int>, begins array<int>, ends array<int>, n_bytes long"
 
 
@@ -166,63 +171,71 @@ class Normalizer:
 
 
 class PieceCodec:
-    """Encodes to ids and source spans, and decodes; texts of over ``longest`` characters go to the library in segments.
+    """Encodes to ids and source spans, and decodes; each distinct word goes to the library once.
 
-    A segment ends at a single blank between two letters or digits of ASCII: the blank
-    is what the library puts before the next segment. That is exact as no piece has a
+    A text is cut at each blank that follows another character than a blank and isn't
+    its last: the blank is what the library puts before the next word. That is exact as no piece has a
     blank behind another character, which is tested once; otherwise, or if the map
-    changes such a blank, texts aren't cut.
+    changes blanks, texts go to the library as a whole. So a text of any length is encoded in bounded memory.
     """
 
-    def __init__(self, path: str, longest: int = LONGEST) -> None:
+    def __init__(self, path: str) -> None:
         from sentencepiece import SentencePieceProcessor
 
         with open(path, "rb") as file:
             model = file.read()
-        self.library, self.normalizer, self.longest = SentencePieceProcessor(model_proto=model), Normalizer(model), longest
+        self.library, self.normalizer = SentencePieceProcessor(model_proto=model), Normalizer(model)
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
-        self.bytes = np.array([self.library.is_byte(i) for i in range(len(pieces))])
-        self.size = np.array([1 if self.bytes[i] else len(x.encode()) for i, x in enumerate(pieces)], np.int32)
-        self.unknown = self.library.unk_id()
-        self.cuts = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])") if self._separable(pieces) else None
+        single = [self.library.is_byte(i) for i in range(len(pieces))]
+        self.size = np.array([1 if one else len(x.encode()) for one, x in zip(single, pieces, strict=True)], np.int32)
+        self.known: dict[str, bytes] = {}
+        self.separable = self._separable(pieces)
 
     def _separable(self, pieces: list[str]) -> bool:
         n = self.normalizer
-        mapped = n.map and any(n.map.longest(f"{a} b".encode(), i) for a in "a0" for i in (0, 1))
-        return n.prefix and n.escape and not n.squeeze and not mapped and not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        return n.prefix and n.escape and not n.squeeze and n.map is None and not any(SPACE in p.lstrip(SPACE) for p in pieces)
 
-    def _segments(self, text: str) -> list[str]:
-        parts, at = [], 0
-        if self.cuts is None:
+    def cut(self, text: str) -> list[str]:
+        """The words of a text, to be encoded one by one."""
+        if not self.separable:
             return [text]
-        while len(text) - at > self.longest:
-            cut = self.cuts.search(text, at + self.longest)
-            if cut is None:
-                break
-            parts.append(text[at : cut.start()])
-            at = cut.end()
-        return [*parts, text[at:]]
+        if "  " not in text and SPACE not in text and text[:1] != " " and text[-1:] != " ":
+            return text.split(" ")
+        return _CUTS.split(text)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-        """(ids, begins, ends, bytes of the text) of each text; spans are in bytes of the text's UTF-8."""
-        for text in texts:
-            parts = self._segments(text)
-            ids = np.concatenate([np.array(self.library.encode(p), np.int32) for p in parts])
+        """(ids, begins, ends, bytes of the text) of each text; spans are in bytes of the text's UTF-8.
+
+        Words that aren't held yet are encoded together; a full cache starts anew.
+        """
+        if len(self.known) > CACHED:
+            self.known = {}
+        cuts = [self.cut(text) for text in texts]
+        fresh = list(set().union(*cuts) - self.known.keys())
+        made = {w: array("i", ids).tobytes() for w, ids in zip(fresh, self.library.encode(fresh, num_threads=1), strict=True)}
+        known = self.known
+        known.update(made)
+        for text, words in zip(texts, cuts, strict=True):
+            ids = np.frombuffer(b"".join(map(known.__getitem__, words)), ID)
             out, source = self.normalizer.normalize(text)
-            sizes = self.size[ids]
-            if len(ids) and self.unknown in ids:
-                sizes = self._unknown_sizes(ids, sizes, text)
-            bounds = np.concatenate(([0], np.cumsum(sizes)))
+            bounds = np.zeros(len(ids) + 1, np.int32)
+            np.cumsum(self.size[ids], out=bounds[1:])
+            if bounds[-1] != len(out):
+                np.cumsum(self._unknown_sizes(text), out=bounds[1:])
             if bounds[-1] != len(out):
                 raise ValueError("the pieces don't make up the normalised text")
-            yield ids, source[bounds[:-1]], source[bounds[1:]], int(source[-1])
+            places = source[bounds]
+            yield ids, places[:-1], places[1:], int(source[-1])
+        for w in made:
+            if len(w) > LONGEST:
+                del known[w]
 
-    def _unknown_sizes(self, ids: np.ndarray, sizes: np.ndarray, text: str) -> np.ndarray:
+    def _unknown_sizes(self, text: str) -> np.ndarray:
         """An unknown piece is as long as what it stands for; vocabularies with a byte fallback have none."""
         return np.array([len(p.piece.encode()) for p in self.library.encode(text, out_type="immutable_proto").pieces], np.int32)
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return [self.library.decode(x) for x in ids]
+    def decode(self, ids: list[int]) -> str:
+        return self.library.decode(ids)
 
 
 _CODECS: dict[str, PieceCodec] = {}
@@ -248,7 +261,7 @@ def encode_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     the blank that the model puts first covers nothing; one inside a replacement
     covers nothing or the whole key, as its last part ends where the key does. A null
     text counts as empty and gives empty lists; repeated rows and null ids stay as they
-    are; texts of any length are encoded whole, in segments of bounded size. Other
+    are; texts of any length are encoded whole, word by word. Other
     columns are dropped.
     """
     require(docs, doc_id, text)
@@ -270,14 +283,16 @@ def decode_pieces(encoded: DataFrame, path: str, ids: str = "ids", to: str = "de
     Invalid byte sequences become U+FFFD, as the library has it. A column named ``to`` is replaced.
     """
     require(encoded, ids)
+    rest = encoded.drop(to)
+    names = rest.columns
 
-    @F.pandas_udf("string")
-    def decoded(column):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.Series(codec(path).decode([[] if x is None else x.tolist() for x in column]), dtype=object)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, ids):
+            lists = batch.column(ids)
+            texts = [codec(path).decode([] if x.values is None else x.values.to_numpy().tolist()) for x in lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, to])
 
-    return encoded.withColumn(to, decoded(F.col(ids)))
+    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(to, T.StringType())]))
 
 
 def piece_digests(docs: DataFrame, path: str) -> DataFrame:

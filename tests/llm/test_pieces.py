@@ -3,7 +3,6 @@
 import hashlib
 import random
 
-import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -37,14 +36,17 @@ def test_ids_texts_and_spans(spark):
         assert covered == b"" or covered == ("▁" + text.replace(" ", "▁")).encode()
 
 
-def test_segments_give_the_whole_encoding():
-    library, cut = sentencepiece.SentencePieceProcessor(model_file=PATH), pieces.PieceCodec(PATH, longest=7)
-    texts = [*random_texts(50), "the quick brown fox  jumps over a lazy dog " * 20, "w " * 100, "one\ntwo three"]
-    assert any(len(cut._segments(t)) > 3 for t in texts)
-    whole = pieces.PieceCodec(PATH)
-    for text, got, wanted in zip(texts, cut.encode(texts), whole.encode(texts), strict=True):
-        assert got[0].tolist() == library.encode(text)
-        assert all(np.array_equal(a, b) for a, b in zip(got, wanted, strict=True))
+def test_words_give_the_whole_encoding(monkeypatch):
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=PATH), pieces.PieceCodec(PATH)
+    texts = [*random_texts(300), "the quick brown fox  jumps over a lazy dog " * 20, "w " * 100, "one\ntwo three", "a \nb", "a b ", "a▁ b", " a"]
+    assert codec.separable and codec.cut("a  b c ") == ["a", " b", "c "]
+    monkeypatch.setattr(pieces, "CACHED", 5)
+    monkeypatch.setattr(pieces, "LONGEST", 3)
+    for at in range(0, len(texts), 20):
+        for text, got in zip(texts[at : at + 20], codec.encode(texts[at : at + 20]), strict=True):
+            assert got[0].tolist() == library.encode(text), text
+    codec.separable = False
+    assert [x[0].tolist() for x in codec.encode(texts)] == library.encode(texts)
 
 
 @pytest.mark.parametrize("squeeze", [True, False])
