@@ -29,8 +29,7 @@ _PART = "0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 TOKEN = r"(?<!\S)(?:(?=\S*[0-9])\S++(?:\x20(?=\S*[0-9])\S++){0,7}+|(?=\S*[\p{L}\p{N}][@._]\p{L})\S++)"
 MAY_HOLD = r"[0-9@_]|\.\p{L}"  # what a text with a candidate holds
 MASK = "\uffff"  # stands for the characters of base matches where candidates are looked for
-LEAST_CHARS = 6  # of a candidate
-ROUNDS = 5
+LEAST_CHARS = 6  # of a candidate, by default
 LEAST_SEEDS = 5  # distinct accepted instances that a pattern needs
 CONFIDENT = 0.75  # share of a pattern's distinct instances that have to be accepted
 BLOCK = 256  # matches whose lengths are summed up together
@@ -164,41 +163,53 @@ def _masked(text: Column, base: Column) -> Column:
     return text
 
 
-def _tokens(text: Column) -> Column:
+def _tokens(text: Column, least_chars: int = LEAST_CHARS) -> Column:
     """Array of (start, end, value, left, right): candidates and the words beside them. Trailing punctuation isn't part of the value."""
 
     def row(s: Column) -> Column:
         core = F.regexp_replace(s["value"], r"[^\p{L}\p{N}]+$", "")
         return F.struct(s["start"].alias("start"), (s["start"] + F.length(core)).alias("end"), core.alias("value"), s["left"].alias("left"), s["right"].alias("right"))
 
-    found = F.filter(F.transform(_spans(text, TOKEN), row), lambda t: (F.length(t["value"]) >= LEAST_CHARS) & ~F.contains(t["value"], F.lit(MASK)))
+    found = F.filter(F.transform(_spans(text, TOKEN), row), lambda t: (F.length(t["value"]) >= least_chars) & ~F.contains(t["value"], F.lit(MASK)))
     return F.when(text.rlike(MAY_HOLD), found).otherwise(F.array().cast(_SPANS))
 
 
 def accepted_instances(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """The values that bootstrapping accepts. ``edges`` (pattern, value, seed) has each pair once.
+    """The values that bootstrapping accepts. ``edges`` (pattern, value, seed) has each pair once and is a written table.
 
     A pattern's score is the accepted share of its distinct instances; it counts from
     LEAST_SEEDS accepted ones on. An instance's score is the best of its patterns'; at
     CONFIDENT it is accepted, and then supports its other patterns in the next round.
-    There are ROUNDS rounds, or fewer if nothing is accepted any more.
+    Rounds go on until nothing is accepted any more: accepted instances only get more, so they end.
+    A round reads the edges of values that are still open, and counts what it accepts: work shrinks with each.
     """
-    state, total = scratch.keep(edges.withColumnRenamed("seed", "accepted")), edges.count()
-    for _ in range(ROUNDS):
-        scored = state.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_if("accepted").alias("n_accepted"))
-        good = scratch.keep(scored.where((F.col("n_accepted") >= LEAST_SEEDS) & (F.col("n_accepted") >= CONFIDENT * F.col("n"))).select("pattern", "n"))
+    accepted = [scratch.keep(edges.where("seed").select("value").distinct())]
+    counts = scratch.keep(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_if("seed").alias("n_accepted")))
+    state = scratch.keep(edges.where(~F.col("seed")).join(accepted[0], "value", "left_anti").select("pattern", "value"))
+    total = edges.count()
+    # A value that is a seed beside one word counts as accepted beside its other words, too.
+    late = edges.where(~F.col("seed")).join(accepted[0], "value").groupBy("pattern").agg(F.count(F.lit(1)).alias("more"))
+    while True:
+        counted = counts.join(late, "pattern", "left").select("pattern", "n", (F.col("n_accepted") + F.coalesce("more", F.lit(0))).alias("n_accepted"))
+        counted = scratch.keep(counted)
+        good = scratch.keep(counted.where((F.col("n_accepted") >= LEAST_SEEDS) & (F.col("n_accepted") >= CONFIDENT * F.col("n"))).select("pattern", "n"))
         # A frequent word's edges are split off the join; a value has two edges for each pair of words beside it.
-        new = scratch.keep(join_hot_apart(state.where(~F.col("accepted")), good, "pattern", "n", total).select("value").distinct())
+        new = scratch.keep(join_hot_apart(state, good, "pattern", "n", total).select("value").distinct())
         if new.isEmpty():
             break
-        later = state.join(new.withColumn("now", F.lit(True)), "value", "left").select("pattern", "value", (F.col("accepted") | F.coalesce("now", F.lit(False))).alias("accepted"))
-        later = scratch.keep(later)
-        scratch.drop(state, good, new)
-        state = later
-    return state.where("accepted").select("value").distinct()
-
-
-def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        accepted.append(new)
+        moved = scratch.keep(state.join(new, "value").groupBy("pattern").agg(F.count(F.lit(1)).alias("more")))
+        # Patterns that were good have nothing open any more.
+        left = scratch.keep(state.join(new, "value", "left_anti"))
+        scratch.drop(state, counts, good)
+        counts, state, late = counted, left, moved
+    found = accepted[0]
+    for new in accepted[1:]:
+        found = found.unionByName(new)
+    return found
+
+
+def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
     """One row per row of ``docs``: doc_id, base and added (arrays of spans).
 
     base holds the matches of the four patterns that pass their check, leftmost
@@ -207,7 +218,8 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     added holds spans of kind "id" that bootstrapping finds. Each base match is, as a
     whole, a seed instance, of whatever kind. The other instances are candidates
     outside of base matches: groups of tokens with a digit, and tokens without one
-    that have @, . or _ inside. A lexical pattern is the word on the left or on
+    that have @, . or _ inside, of ``least_chars`` characters or more. A group of over
+    eight tokens is cut after each eighth. A lexical pattern is the word on the left or on
     the right of an instance, in lower case. The graph of patterns and distinct
     instances is scored in rounds, see :func:`accepted_instances`; all occurrences of
     accepted instances are identifiers, where they overlap no base match.
@@ -219,7 +231,7 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     require(docs, doc_id, text)
     scratch = Scratch(docs.sparkSession, "pii")
     body = text_or_empty(text)
-    made = F.transform(F.array(base_spans(body)), lambda b: F.struct(b.alias("base"), _let(_masked(body, b), _tokens).alias("tokens")))
+    made = F.transform(F.array(base_spans(body)), lambda b: F.struct(b.alias("base"), _let(_masked(body, b), lambda t: _tokens(t, least_chars)).alias("tokens")))
     # Texts are read once: only spans and instances, a small share of the text, are kept.
     found = scratch.keep(docs.select(*row_key(doc_id, text), made[0].alias("made")).select("doc_id", "h", "made.*"))
     row = F.struct("doc_id", "h").alias("key")

@@ -30,8 +30,9 @@ def test_found_identifiers_teach_new_patterns(spark):
 
 def plain_accepted(edges):
     accepted = {v for _, v, seed in edges if seed}
-    for _ in range(pii.ROUNDS):
-        of = {}
+    before = None
+    while before != len(accepted):
+        before, of = len(accepted), {}
         for p, v, _ in edges:
             of.setdefault(p, set()).add(v)
         good = {p for p, vs in of.items() if len(vs & accepted) >= pii.LEAST_SEEDS and len(vs & accepted) >= pii.CONFIDENT * len(vs)}
@@ -54,6 +55,23 @@ def test_accepted_like_plain(spark, monkeypatch):
         assert {r.value for r in pii.accepted_instances(frame, common.Scratch(spark, "test")).collect()} == wanted
 
 
+def test_a_chain_of_seven_hops_is_followed_to_its_end(spark):
+    from lumenfold.llm import common
+
+    edges = [(f"p{i}.{j}", v) for i in range(7) for j in range(3) for v in [f"v{i}.{k}" for k in range(6)] + [f"v{i + 1}.{k}" for k in (2 * j, 2 * j + 1)]]
+    frame = spark.createDataFrame([(p, v, v.startswith("v0.")) for p, v in edges], "pattern string, value string, seed boolean")
+    got = {r.value for r in pii.accepted_instances(frame, common.Scratch(spark, "test")).collect()}
+    assert got == {f"v{i}.{k}" for i in range(8) for k in range(6)} == plain_accepted([tuple(r) for r in frame.collect()])
+
+
+def test_shorter_candidates_and_groups_of_over_eight(spark):
+    docs = [(i, f"ring desk +1 (555) 100-{1000 + i} now") for i in range(30)] + [(50, "ring desk 12-34 now"), (51, "ring desk " + " ".join("12345678") + " 9 now")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    spans = {n: {r.doc_id: [(a.start, a.end) for a in r.added] for r in pii.find_pii(docs, least_chars=n).collect()} for n in (5, 6)}
+    assert spans[5][50] == [(10, 15)] and spans[6][50] == []
+    assert spans[6][51] == [(10, 25)]
+
+
 def test_very_many_matches_in_one_text(spark):
     many = " ".join(f"n{i}@x{i % 7}.org {10_000_000 + i}" for i in range(50_000))
     got = pii.find_pii(spark.createDataFrame([(1, many)], "doc_id long, text string")).collect()[0]
