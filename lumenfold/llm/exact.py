@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import Scratch, join_hot_apart, require, row_key, shared_root, text_or_empty, without
+from lumenfold.llm.common import Scratch, delete, join_hot_apart, require, row_key, shared_path, text_or_empty, without
 
 
 BUCKET_ROWS = 2_000_000  # digests (about 50 bytes each) that a new index plans for in a bucket
@@ -22,15 +22,17 @@ class DigestIndex:
     failure gives the same result and appends nothing.
     """
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None) -> None:
-        self.spark, self.name, self.buckets = spark, name, buckets
+    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None, path: str | None = None) -> None:
+        """``path`` is where a new table's files go; an index that exists is opened by its name alone."""
+        self.spark, self.name, self.buckets, self.path = spark, name, buckets, path
 
     def create(self, groups: DataFrame, rows: int) -> None:
         """Creates the empty table; its buckets are planned for ``rows`` documents unless they are given."""
         if not self.exists():
             self.buckets = self.buckets or max(8, -(-rows // BUCKET_ROWS))
             empty = groups.select("digest", "keep_id", F.lit("").alias("batch")).limit(0)
-            empty.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+            writer = empty.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
+            (writer.option("path", self.path) if self.path else writer).saveAsTable(self.name)
 
     def bucket_count(self) -> int:
         if self.buckets is None:  # opened by name
@@ -53,7 +55,10 @@ class DigestIndex:
         writer.mode("append").saveAsTable(self.name)
 
     def drop(self) -> None:
+        """Drops the table and its files."""
         self.spark.sql(f"drop table if exists {self.name}")
+        if self.path:
+            delete(self.spark, self.path)
 
 
 def digest(text: str) -> Column:
@@ -106,8 +111,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, batch: str = "first", doc_i
 
 
 def new_index(spark: SparkSession, name: str, buckets: int | None = None) -> DigestIndex:
-    """An index under a name that no other run uses."""
+    """An index under a name that no other run uses, with its files in the shared folder."""
     import uuid
 
-    shared_root(spark)
-    return DigestIndex(spark, f"{name}_{uuid.uuid4().hex[:12]}", buckets)
+    return DigestIndex(spark, f"{name}_{uuid.uuid4().hex[:12]}", buckets, shared_path(spark, name))

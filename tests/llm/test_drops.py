@@ -47,6 +47,19 @@ def test_op5_anti_joins_and_leaves_no_table(spark):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digests_")]
 
 
+def test_the_index_lies_in_the_shared_folder_and_goes_with_its_files(spark):
+    from pathlib import Path
+
+    from lumenfold.llm.common import shared_root
+
+    index = exact.new_index(spark, "placed", 2)
+    exact.exact_groups(frame(spark, [(1, "a"), (2, "b")]), index).collect()
+    at = Path(index.path.removeprefix("file:"))
+    assert str(at).startswith(shared_root(spark).removeprefix("file:")) and list(at.glob("*.parquet"))
+    index.drop()
+    assert not at.exists() and not index.exists()
+
+
 def test_simhash_drops_by_id_and_text(spark):
     docs = frame(spark, [(1, "a b c d e f"), (7, "a b c d e f"), (7, "quite another text of words"), (None, "a b c d e f"), (3, None), (4, " ")])
     assert left(simhash.simhash_dedup(docs)) == [(0, "a b c d e f"), (1, "a b c d e f"), (3, ""), (7, "quite another text of words")]
