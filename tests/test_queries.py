@@ -1,7 +1,7 @@
 import pytest
 from compare import both
 
-from lumenfold.plans import alerts, claims, clusters, copying, feeds, linking, lists, ownership, reads, resolution, scalars, signals  # noqa: F401
+from lumenfold.plans import alerts, calibration, claims, clusters, copying, feeds, linking, lists, ownership, reads, resolution, scalars, signals  # noqa: F401
 from lumenfold.plans.registry import QUERIES, SQL
 
 
