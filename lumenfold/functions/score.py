@@ -103,3 +103,20 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     rad = math.pi / 180
     a = F.pow(F.sin((lat2 - lat1) * rad / 2), 2) + F.cos(lat1 * rad) * F.cos(lat2 * rad) * F.pow(F.sin((lon2 - lon1) * rad / 2), 2)
     return 2 * 6371.0088 * F.asin(F.sqrt(a))
+
+
+# Months from and to of each horizon, and whether the first day is one of its own.
+HORIZONS = {"0_6m": (0, 6, True), "6_12m": (6, 12, False), "12_18m": (12, 18, False), "within_18m": (0, 18, True)}
+
+
+def horizon(day: Column, name: str) -> Column:
+    """(horizon, lower, lower_inclusive, upper): calendar months from the day, clamped to the month's end; upper is inclusive."""
+    low, high, inclusive = HORIZONS[name]
+    return F.struct(F.lit(name).alias("horizon"), F.add_months(day, low).alias("lower"), F.lit(inclusive).alias("lower_inclusive"), F.add_months(day, high).alias("upper"))
+
+
+def incident_severity(name: Column, magnitude: Column) -> Column:
+    """By the name of a band in any case, else the magnitude as a share of eight in percent, else 35."""
+    known = F.lower(name)
+    named = F.when(known.isin("critical", "severe", "high"), 85.0).when(known.isin("moderate", "medium"), 55.0).when(known.isin("minor", "low"), 25.0)
+    return named.otherwise(F.coalesce(F.round(clamp(magnitude / 8 * 100, 0.0, 100.0), 2), F.lit(35.0)))

@@ -12,7 +12,7 @@ def follow_redirects(starts: DataFrame, edges: DataFrame, most_hops: int = 16) -
     """(node, target, hops, status): where each node ends up.
 
     ``edges`` (old, new). status is ok, fork (two targets), cycle or too_deep. Each
-    hop is one equi-join; walks that have ended aren't joined again.
+    hop is one equi-join, in which walks that have ended match nothing.
     """
     step = edges.groupBy("old").agg(F.min("new").alias("new"), F.count_distinct("new").alias("n"))
     walk = starts.select(F.col("node"), F.col("node").alias("at"), F.array("node").alias("path"), F.lit("open").alias("status"))

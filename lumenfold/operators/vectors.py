@@ -1,4 +1,4 @@
-"""Cosine similarity, nearest neighbours and single-link clusters on array columns."""
+"""Cosine similarity and nearest neighbours on array columns."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, least: float) -> DataF
     """The k most similar items of each query, and of those the ones at ``least`` or more.
 
     The threshold comes after the limit. ``queries`` (query_id, vector, label) is a
-    stated set and is compared in blocks with the items of its label (the hard
+    stated set and is compared with the items of its label (the hard
     filter), which is an equi-join.
     """
     pairs = queries.alias("q").join(items.alias("i"), F.col("q.label") == F.col("i.label")).where("q.query_id <> i.item_id")

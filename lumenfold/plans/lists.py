@@ -243,7 +243,7 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT event_id, level, count(*) OVER () AS total FROM b WHERE level <> 'low' ORDER BY value DESC NULLS LAST, event_id LIMIT 50"""
 )
 def event_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-099 to O-102, O-107, O-108, O-232, O-237: filters, a derived level, the count of all and a page (the feature)."""
+    """O-099 to O-102, O-107, O-232, O-237: filters, a derived level, the count of all and a page (the feature)."""
     level = F.when(F.col("value") >= 400, "high").when(F.col("value") >= 250, "medium").otherwise("low")
     e = table(spark, sf_dir, "events").where("ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-20'").where(F.upper("event_type").isin("CLICK", "VIEW", "PURCHASE"))
     b = e.select("event_id", "value", level.alias("level")).where("level != 'low'")

@@ -46,7 +46,7 @@ def latest_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT c.user_id, c.v AS current, b.v AS previous, round(c.v - b.v, 4) AS delta FROM c LEFT JOIN b USING (user_id)"""
 )
 def risk_radar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-127 to O-129, O-197, O-234: as-of values at two cutoffs in one pass."""
+    """O-127 to O-129, O-234: as-of values at two cutoffs in one pass."""
     e = table(spark, sf_dir, "events").where("ts <= timestamp '2024-01-20'")
     at = F.struct("ts", "event_id", "value")
     two = e.groupBy("user_id").agg(F.max(at).alias("c"), F.max(F.when(F.col("ts") <= F.expr("timestamp '2024-01-13'"), at)).alias("p"))
@@ -59,7 +59,7 @@ def risk_radar(spark: SparkSession, sf_dir: str) -> DataFrame:
     WINDOW w AS (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) QUALIFY row_number() OVER w <= 3"""
 )
 def top_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-171 to O-173, O-181: the top three of each group in a total order."""
+    """O-171 to O-173: the top three of each group in a total order."""
     return relational.top_n(table(spark, sf_dir, "events"), ["user_id", "event_type"], [F.desc("value"), F.col("event_id")], 3).select("user_id", "event_type", "event_id", "rank")
 
 
@@ -96,13 +96,13 @@ def trial_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH h AS (SELECT sha256(text) AS h, min(doc_id) AS lead, count(*) AS copies, list_sort(list(doc_id)) AS ids FROM documents GROUP BY 1 HAVING count(*) > 1)
-    SELECT h AS content_hash, lead, copies, array_to_string(ids, ',') AS members FROM h"""
+    SELECT doc_id, content_hash, lead, copies, doc_id <> lead AS duplicate FROM (SELECT doc_id, sha256(coalesce(text, '')) AS content_hash, min(doc_id) OVER w AS lead, count(*) OVER w AS copies FROM documents WINDOW w AS (PARTITION BY coalesce(text, '')))"""
 )
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-146, O-200: texts that several documents share."""
-    g = table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("copies"), F.array_join(F.sort_array(F.collect_list("doc_id")).cast("array<string>"), ",").alias("members"))
-    return g.where("copies > 1")
+    """O-146, O-200: each document with the first one of its text, new or duplicate: hashes are counted before they are joined back."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    g = d.groupBy("content_hash").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("copies"))
+    return d.join(g, "content_hash").select("doc_id", "content_hash", "lead", "copies", (F.col("doc_id") != F.col("lead")).alias("duplicate"))
 
 
 @query(
@@ -136,7 +136,7 @@ def exposure_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25 OFFSET 25"""
 )
 def order_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-140, O-183, O-184, O-190: a page in a total order with the count of all (the page is the feature)."""
+    """O-140, O-183, O-184: a page in a total order with the count of all (the page is the feature)."""
     base = table(spark, sf_dir, "orders").where("o_orderstatus = 'F' and o_orderdate >= timestamp '1997-01-01' and o_orderdate < timestamp '1998-01-01'").select("o_orderkey", "o_totalprice")
     page = base.orderBy(F.col("o_totalprice").desc_nulls_last(), "o_orderkey").offset(25).limit(25)
     return page.withColumn("total", base.agg(F.count(F.lit(1))).scalar())
@@ -330,5 +330,5 @@ def event_shock(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, round(avg(length(text)), 4) AS mean_chars, CAST(max(turn) AS BIGINT) AS last_turn FROM conversations GROUP BY ROLLUP (role)"""
 )
 def role_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-161, O-165, O-168: counts by category with the total row."""
+    """O-168: counts by category with the total row."""
     return table(spark, sf_dir, "conversations").rollup("role").agg(F.count(F.lit(1)).alias("turns"), F.count_distinct("conv_id").alias("conversations"), F.round(F.avg(F.length("text")), 4).alias("mean_chars"), F.max("turn").alias("last_turn"))

@@ -13,19 +13,21 @@ _SUFFIXES = "|".join(text.LEGAL_SUFFIXES)
 
 @query(
     r"""
-    WITH p AS (SELECT page_id, trim(url) AS u FROM pages),
+    WITH p AS (SELECT page_id, trim(url) || CASE page_id % 3 WHEN 0 THEN '' ELSE CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'b=%7e%20x&UTM_a=1&b&a=2&a=10&a%3D=q*+' || page_id || '&cmpid=3#top' END AS u FROM pages),
     q AS (SELECT page_id, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
       lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host,
       regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
-      list_sort(list_filter(string_split(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[^?#]*\?([^#]*)', 1), '&'),
-        lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|fbclid|gclid|ref|source|mc_cid|mc_eid)(=|$)'))) AS kept FROM p),
+      [{'k': url_decode(replace(split_part(x, '=', 1), '+', ' ')), 'v': url_decode(replace(regexp_extract(x, '^[^=]*=(.*)$', 1), '+', ' '))} FOR x IN string_split(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[^?#]*\?([^#]*)', 1), '&') IF x <> ''] AS pairs FROM p),
+    k AS (SELECT *, list_sort([x FOR x IN pairs IF NOT regexp_matches(lower(x.k), '^utm_|^(gclid|fbclid|mc_cid|mc_eid|ref|cmpid|igshid)$')]) AS kept FROM q),
     r AS (SELECT page_id, scheme || '://' || CASE WHEN scheme = 'http' THEN regexp_replace(host, ':80$', '') WHEN scheme = 'https' THEN regexp_replace(host, ':443$', '') ELSE host END
-      || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(kept, '&') END AS url FROM q)
+      || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string([replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+') FOR x IN kept], '&') END AS url FROM k)
     SELECT page_id, url, sha256(url) AS url_hash FROM r"""
 )
 def url_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-026, O-027: canonical URL and its hash."""
-    return table(spark, sf_dir, "pages").select("page_id", text.normalize_url(F.col("url")).alias("url"), text.url_hash(F.col("url")).alias("url_hash"))
+    """O-026, O-027: canonical URL and its hash; two of three pages get parameters to be sorted, re-encoded and left out."""
+    more = F.concat(F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("b=%7e%20x&UTM_a=1&b&a=2&a=10&a%3D=q*+"), F.col("page_id").cast("string"), F.lit("&cmpid=3#top"))
+    url = F.concat(F.trim("url"), F.when(F.col("page_id") % 3 == 0, "").otherwise(more))
+    return table(spark, sf_dir, "pages").select("page_id", text.normalize_url(url).alias("url"), text.url_hash(url).alias("url_hash"))
 
 
 @query(
@@ -36,7 +38,7 @@ def url_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT *, trim(regexp_replace(regexp_replace(translate(lower(s_name || ', Inc. Ltd.'), '.''’`´', ''), '[^\pL\pN\s]', ' ', 'g'), '\s+', ' ', 'g')) AS w FROM supplier)"""
 )
 def entity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-030 to O-034: names, aliases and ids as keys."""
+    """O-030 to O-032, O-034: names, aliases and ids as keys."""
     name = F.col("s_name")
     return table(spark, sf_dir, "supplier").select(
         "s_suppkey",
@@ -56,7 +58,7 @@ def entity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM d"""
 )
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-028, O-035 to O-038, O-044, O-045: hashes, budgets, excerpts."""
+    """O-028, O-035 to O-037, O-044, O-045: hashes, budgets, excerpts."""
     t = F.col("text")
     cut = text.excerpt(F.lit(None).cast("string"), t)
     return table(spark, sf_dir, "documents").select(
@@ -117,7 +119,7 @@ def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
       CAST(date_trunc('month', ts) AS DATE) AS month_start, CAST(date_trunc('month', ts) + INTERVAL 1 MONTH AS DATE) AS next_month FROM b"""
 )
 def event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-086 to O-092: brief windows, zone dates, month bounds."""
+    """O-086, O-087, O-089, O-090, O-092: brief windows, zone dates, month bounds."""
     ts = F.col("ts")
     month = F.to_date(F.date_trunc("month", ts))
     return table(spark, sf_dir, "events").select("event_id", moments.brief_date(ts).alias("brief_date"), moments.local_date(ts, "Asia/Tokyo").alias("tokyo_date"), month.alias("month_start"), F.add_months(month, 1).alias("next_month"))

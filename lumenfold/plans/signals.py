@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenfold.functions import score
+from lumenfold.functions import score, text
 from lumenfold.plans.registry import query, table
 
 # Named signals, comparisons and limits of the gate.
@@ -67,24 +67,30 @@ def calibration_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey, CAST(o_orderdate + INTERVAL 6 MONTH AS DATE) AS to_6, CAST(o_orderdate + INTERVAL 12 MONTH AS DATE) AS to_12, CAST(o_orderdate + INTERVAL 18 MONTH AS DATE) AS to_18,
-      CAST(o_orderdate AS DATE) + 1 AS day_end FROM orders"""
+    """
+    SELECT o_orderkey, h AS horizon, CAST(o_orderdate + to_months(lo) AS DATE) AS lower, inc AS lower_inclusive, CAST(o_orderdate + to_months(hi) AS DATE) AS upper,
+      CASE WHEN inc THEN CAST(o_orderdate + to_months(lo) AS DATE) <= day ELSE CAST(o_orderdate + to_months(lo) AS DATE) < day END AND day <= CAST(o_orderdate + to_months(hi) AS DATE) AS holds
+    FROM (SELECT o_orderkey, o_orderdate, CAST(o_orderdate + to_months(CAST(o_orderkey % 20 AS INTEGER)) AS DATE) AS day FROM orders), (VALUES ('0_6m', 0, 6, true), ('6_12m', 6, 12, false), ('12_18m', 12, 18, false), ('within_18m', 0, 18, true)) b(h, lo, hi, inc)"""
 )
 def horizon_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-093: month offsets from a day, clamped to the month's end, and the end of the day."""
-    day = F.to_date("o_orderdate")
-    return table(spark, sf_dir, "orders").select("o_orderkey", *[F.add_months(day, m).alias(f"to_{m}") for m in (6, 12, 18)], F.date_add(day, 1).alias("day_end"))
+    """O-093: the bounds of the four horizons of a day, clamped to the month's end, and whether each holds another day."""
+    day, other = F.to_date("o_orderdate"), F.add_months(F.to_date("o_orderdate"), (F.col("o_orderkey") % 20).cast("int"))
+    bounds = F.explode(F.array(*[score.horizon(day, h) for h in score.HORIZONS])).alias("b")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", other.alias("day"), bounds).select("o_orderkey", "day", "b.*")
+    after = F.when(F.col("lower_inclusive"), F.col("lower") <= F.col("day")).otherwise(F.col("lower") < F.col("day"))
+    return rows.withColumn("holds", after & (F.col("day") <= F.col("upper"))).drop("day")
 
 
 @query(
     """
-    SELECT event_id, CASE event_type WHEN 'error' THEN 85.0 WHEN 'purchase' THEN 55.0 WHEN 'view' THEN 25.0 ELSE coalesce(least(100.0, greatest(0.0, value / 8)), 35.0) END AS severity
-    FROM events"""
+    SELECT event_id, CASE WHEN name IN ('critical', 'severe', 'high') THEN 85.0 WHEN name IN ('moderate', 'medium') THEN 55.0 WHEN name IN ('minor', 'low') THEN 25.0
+      WHEN magnitude IS NOT NULL THEN round(least(100.0, greatest(0.0, magnitude / 8 * 100)), 2) ELSE 35.0 END AS severity
+    FROM (SELECT event_id, value / 7.3 - 0.2 AS magnitude, lower(CASE event_type WHEN 'error' THEN 'Severe' WHEN 'purchase' THEN 'medium' WHEN 'view' THEN 'LOW' END) AS name FROM events)"""
 )
 def incident_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-076: a band by name, else an eighth of the magnitude, else 35."""
-    band = F.when(F.col("event_type") == "error", 85.0).when(F.col("event_type") == "purchase", 55.0).when(F.col("event_type") == "view", 25.0)
-    return table(spark, sf_dir, "events").select("event_id", band.otherwise(F.coalesce(score.clamp(F.col("value") / 8, 0.0, 100.0), F.lit(35.0))).alias("severity"))
+    """O-076: a band by name, else the magnitude as a share of eight, else 35."""
+    name = F.when(F.col("event_type") == "error", "Severe").when(F.col("event_type") == "purchase", "medium").when(F.col("event_type") == "view", "LOW")
+    return table(spark, sf_dir, "events").select("event_id", score.incident_severity(name, F.col("value") / 7.3 - 0.2).alias("severity"))
 
 
 @query(
@@ -133,29 +139,38 @@ def field_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH w AS (SELECT user_id, event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS move FROM events),
-    r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY abs(move) DESC, event_id) AS nth FROM w WHERE move IS NOT NULL)
-    SELECT user_id, event_id, round(move, 6) AS move FROM r WHERE nth = 1"""
+    WITH w AS (SELECT user_id, event_id, round(value, -1) - lag(round(value, -1)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS move FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY abs(move) DESC, event_id) AS nth FROM w WHERE abs(move) > 0)
+    SELECT user_id, event_id, round(move, 6) AS move, CAST(row_number() OVER (ORDER BY abs(move) DESC, user_id) AS INTEGER) AS rank FROM r WHERE nth = 1"""
 )
 def largest_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-197: the largest change of each series in either direction."""
-    move = F.col("value") - F.lag("value").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    moves = table(spark, sf_dir, "events").select("user_id", "event_id", move.alias("move")).where("move is not null")
+    """O-197: the largest change of each series in either direction, and its rank over all; a series that didn't move has none.
+
+    A series is one row by then; its rank is a sort of these.
+    """
+    value = F.round("value", -1)
+    move = value - F.lag(value).over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    moves = table(spark, sf_dir, "events").select("user_id", "event_id", move.alias("move")).where(F.abs("move") > 0)
     best = moves.groupBy("user_id").agg(F.max(F.struct(F.abs("move").alias("size"), (-F.col("event_id")).alias("first"), "move")).alias("b"))
-    return best.select("user_id", (-F.col("b.first")).alias("event_id"), F.round("b.move", 6).alias("move"))
+    rank = F.row_number().over(W.orderBy(F.desc("b.size"), "user_id"))
+    return best.select("user_id", (-F.col("b.first")).alias("event_id"), F.round("b.move", 6).alias("move"), rank.alias("rank"))
 
 
 @query(
     """
-    WITH r AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events WHERE value IS NOT NULL)
-    SELECT user_id, count(*) AS points, round(max(value) FILTER (WHERE nth = 1) - max(value) FILTER (WHERE nth = 5), 6) AS trend FROM r WHERE nth <= 5 GROUP BY 1"""
+    WITH d AS (SELECT user_id, CAST(ts AS DATE) AS period, value, ts, event_id FROM events WHERE value IS NOT NULL),
+    p AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY user_id, period ORDER BY ts DESC, event_id DESC) = 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY period DESC) AS nth FROM p)
+    SELECT user_id, count(*) AS points, string_agg(strftime(period, '%Y-%m-%d') || ' ' || printf('%.2f', value), '; ' ORDER BY period DESC) AS trend FROM r WHERE nth <= 5 GROUP BY 1 HAVING count(*) >= 2"""
 )
 def five_point_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-181: change over the last five values of a series."""
-    nth = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    last = table(spark, sf_dir, "events").where("value is not null").withColumn("nth", nth).where("nth <= 5")
-    at = lambda n: F.max(F.when(F.col("nth") == n, F.col("value")))
-    return last.groupBy("user_id").agg(F.count(F.lit(1)).alias("points"), F.round(at(1) - at(5), 6).alias("trend"))
+    """O-181: the newest value of each of the last five distinct days, the newest first; from two days on."""
+    newest = F.max_by("value", F.struct("ts", "event_id")).alias("value")
+    periods = table(spark, sf_dir, "events").where("value is not null").groupBy("user_id", F.to_date("ts").alias("period")).agg(newest)
+    nth = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("period")))
+    last = periods.withColumn("nth", nth).where("nth <= 5")
+    points = F.array_sort(F.collect_list(F.struct("nth", F.concat(F.date_format("period", "yyyy-MM-dd"), F.lit(" "), F.format_string("%.2f", "value")).alias("text"))))
+    return last.groupBy("user_id").agg(F.count(F.lit(1)).alias("points"), F.array_join(F.transform(points, lambda x: x["text"]), "; ").alias("trend")).where("points >= 2")
 
 
 @query(
@@ -191,13 +206,19 @@ def bounded_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("event_type").agg(F.count_if(shown).alias("shown"), (F.count(F.lit(1)) > 100).alias("truncated"), F.round(F.min(F.when(shown, F.col("value"))), 6).alias("least_shown"))
 
 
+_PHRASES = ", ".join(f"'{p}'" for p in text.HINDSIGHT_PHRASES)
+
+
 @query(
-    r"""
-    SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '\b(19|20)[0-9]{2}\b'), lambda y: CAST(y AS INTEGER) > 2020)) AS INTEGER) AS late_years,
-      regexp_matches(text, '(?i)(in hindsight|later became|would go on to)') AS hindsight FROM documents"""
+    rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') || ' In ' || (2010 + n_chars % 20) || ', ' || upper([{_PHRASES}, 'nothing of it'][1 + n_chars % 23]) || ' in ' || (2010 + n_chars % 20) || ' and 1' || (500 + n_chars % 500) AS text FROM documents)
+    SELECT doc_id, array_to_string(list_sort(list_distinct([CAST(y AS INTEGER) FOR y IN regexp_extract_all(text, '\b(1[6-9][0-9]{{2}}|20[0-9]{{2}})\b') IF CAST(y AS INTEGER) > 2015])), ',') AS late_years,
+      array_to_string([p FOR p IN [{_PHRASES}] IF contains(lower(text), p)], ',') AS phrases FROM d"""
 )
 def hindsight_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-098: four-digit years after a limit, and phrases that tell of what came later."""
-    years = F.regexp_extract_all("text", F.lit(r"\b(?:19|20)[0-9]{2}\b"), F.lit(0))
-    late = F.size(F.filter(years, lambda y: y.cast("int") > 2020))
-    return table(spark, sf_dir, "documents").select("doc_id", late.alias("late_years"), F.col("text").rlike("(?i)(in hindsight|later became|would go on to)").alias("hindsight"))
+    """O-098: the distinct years after a limit, and the phrases that tell of what came later; a sentence with both is put behind each text."""
+    words = F.array(*[F.lit(p) for p in (*text.HINDSIGHT_PHRASES, "nothing of it")])
+    year = (F.col("n_chars") % 20 + 2010).cast("string")
+    more = F.concat(F.lit(" In "), year, F.lit(", "), F.upper(F.element_at(words, (F.col("n_chars") % 23 + 1).cast("int"))), F.lit(" in "), year, F.lit(" and 1"), (F.col("n_chars") % 500 + 500).cast("string"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), more).alias("text"))
+    return d.select("doc_id", F.array_join(text.future_years(F.col("text"), F.lit(2015)).cast("array<string>"), ",").alias("late_years"), F.array_join(text.hindsight_phrases(F.col("text")), ",").alias("phrases"))

@@ -83,3 +83,33 @@ def test_unknown_confidence_counts_as_one(spark):
 
     edges = spark.createDataFrame([("a", "b", None), ("b", "c", 0.5), ("a", "c", 0.4)], "child string, parent string, confidence double")
     assert {tuple(r) for r in parent_exposure(edges).collect()} == {("a", "b", 1.0, 1), ("b", "c", 0.5, 1), ("a", "c", 0.5, 2)}
+
+
+def test_urls_as_the_standard_library_has_them(spark):
+    from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
+
+    def plain(url):
+        parts = urlsplit(url.strip())
+        scheme, host = (parts.scheme or "https").lower(), parts.netloc.lower()
+        for name, port in (("http", ":80"), ("https", ":443")):
+            host = host.removesuffix(port) if scheme == name else host
+        kept = [(k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if not k.lower().startswith("utm_") and k.lower() not in text.TRACKING_KEYS]
+        return urlunsplit((scheme, host, parts.path.rstrip("/") or "/", urlencode(sorted(kept)), ""))
+
+    urls = ["http://A.com:80", "https://a.com/x//?b=2&b=10&a", "a.com/x", "//a.com/x?ref=1", "http://a.com?q=a+b%20c%7E*~&REF=2&utm_x=1&source=3", "ftp://a:443/?=x&k==&é=ü", "https://a.com/?a%3D=1&a=2", "http://a.com:8080/#f?x=1", " HTTP://a.com/%7Ex/ "]
+    for url in urls:
+        assert one(spark, text.normalize_url(F.col("u")), u=url) == plain(url), url
+
+
+def test_ciks_and_tokens(spark):
+    cik = lambda x: one(spark, text.normalize_cik(F.col("u")), u=x)
+    assert [cik(x) for x in ("CIK 320193", "12345678901", "none", "")] == ["0000320193", "12345678901", None, None]
+    kinds = ("banking_stress", "supply_shock", "pandemic")
+    found = lambda x: one(spark, text.canonical_type(F.col("u"), kinds), u=x)
+    assert [found(x) for x in (" Bank-Run ", "supply.chain", "Pandemic", "sovereign/default", "x", "")] == ["banking_stress", "supply_shock", "pandemic", None, None, None]
+
+
+def test_severities_by_name_and_magnitude(spark):
+    rows = [("HIGH", 1.0), ("medium", None), ("Low", 9.0), (None, 6.1), ("odd", 9.0), ("odd", -1.0), (None, None)]
+    df = spark.createDataFrame(rows, "name string, magnitude double")
+    assert [r[0] for r in df.select(score.incident_severity(F.col("name"), F.col("magnitude"))).collect()] == [85.0, 55.0, 25.0, 76.25, 100.0, 0.0, 35.0]
