@@ -37,7 +37,33 @@ def fold_alerts(observations: DataFrame) -> DataFrame:
     return ordered.mapInPandas(run, FOLD_SCHEMA)
 
 
-@query()
+#: One step of each key at a time. Levels are 0 to 3; a level is reached at 37, 62 and 82, and left at 25, 50 and 70.
+LIFECYCLE_SQL = """
+    WITH RECURSIVE o AS (SELECT user_id, event_type, event_id, ts, least(100.0, greatest(0.0, value)) AS s, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+    w(user_id, event_type, n, event_id, transition, state, level, clear_since, resolved_at, peak, last_at) AS (
+      SELECT DISTINCT user_id, event_type, 0::BIGINT, NULL::BIGINT, 'start', 'none', 0, NULL::TIMESTAMP, NULL::TIMESTAMP, 0, NULL::TIMESTAMP FROM o
+      UNION ALL
+      SELECT user_id, event_type, n, event_id, t,
+        CASE t WHEN 'opened' THEN 'open' WHEN 'escalated' THEN 'escalated' WHEN 'resolved' THEN 'resolved' WHEN 'downgraded' THEN 'downgraded' ELSE state END,
+        CASE WHEN t IN ('replay', 'quiet', 'cooldown') THEN level WHEN t = 'opened' THEN hi ELSE nl END,
+        CASE WHEN t IN ('replay', 'quiet', 'cooldown') THEN clear_since WHEN t IN ('opened', 'escalated', 'rebounded') THEN NULL WHEN calm THEN since WHEN t = 'downgraded' THEN NULL ELSE clear_since END,
+        CASE t WHEN 'opened' THEN NULL WHEN 'resolved' THEN ts ELSE resolved_at END,
+        CASE WHEN t IN ('replay', 'quiet', 'cooldown') THEN peak WHEN t = 'opened' THEN hi ELSE greatest(peak, nl) END,
+        CASE t WHEN 'replay' THEN last_at ELSE ts END
+      FROM (SELECT *, CASE WHEN ts <= last_at THEN 'replay'
+          WHEN idle THEN CASE WHEN hi = 0 THEN 'quiet' WHEN resolved_at IS NOT NULL AND ts - resolved_at < INTERVAL 24 HOUR AND hi <= peak THEN 'cooldown' ELSE 'opened' END
+          WHEN nl > level THEN 'escalated' WHEN calm THEN CASE WHEN ts - since >= INTERVAL 7 DAY THEN 'resolved' WHEN since = ts THEN 'downgraded' ELSE 'unchanged_calm' END
+          WHEN nl < level THEN 'downgraded' WHEN state = 'downgraded' AND clear_since IS NOT NULL THEN 'rebounded' ELSE 'unchanged' END AS t
+        FROM (SELECT *, nl = 0 AND s <= 25 AND NOT idle AND nl <= level AS calm, CASE WHEN state = 'downgraded' AND clear_since IS NOT NULL THEN clear_since ELSE ts END AS since
+          FROM (SELECT *, CASE WHEN hi > level THEN hi WHEN level = 3 AND s > 70 THEN 3 WHEN level >= 2 AND s > 50 THEN 2 WHEN level >= 1 AND s > 25 THEN 1 ELSE 0 END AS nl
+            FROM (SELECT w.user_id, w.event_type, o.n, o.event_id, o.ts, o.s, w.state, w.level, w.clear_since, w.resolved_at, w.peak, w.last_at, w.state IN ('none', 'resolved') AS idle,
+                CASE WHEN s >= 82 THEN 3 WHEN s >= 62 THEN 2 WHEN s >= 37 THEN 1 ELSE 0 END AS hi
+              FROM w JOIN o ON o.user_id = w.user_id AND o.event_type = w.event_type AND o.n = w.n + 1)))))
+    SELECT user_id, event_type, event_id, CASE transition WHEN 'unchanged_calm' THEN 'unchanged' ELSE transition END AS transition,
+      CASE transition WHEN 'unchanged_calm' THEN 'downgraded' ELSE state END AS state, ['low', 'medium', 'high', 'critical'][level + 1] AS level FROM w WHERE n > 0"""
+
+
+@query(LIFECYCLE_SQL)
 def alert_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-284 to O-288: the state machine over each key's observations in order."""
     return fold_alerts(table(spark, sf_dir, "events"))
