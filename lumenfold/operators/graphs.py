@@ -28,6 +28,9 @@ def follow_redirects(starts: DataFrame, edges: DataFrame, most_hops: int = 16) -
     return walk.select("node", F.col("at").alias("target"), (F.size("path") - 1).alias("hops"), final.alias("status"))
 
 
+PLACES = 12  # of a product of confidences: beyond, two ways are equally confident
+
+
 def _best_edges(edges: DataFrame) -> DataFrame:
     """(child, parent, confidence): the most confident edge of each pair, between 0 and 1; a null confidence counts as 1."""
     held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(1.0))))
@@ -49,7 +52,7 @@ def parent_exposure(edges: DataFrame, most_levels: int = 4) -> DataFrame:
     best = level.withColumn("depth", F.lit(1))
     for depth in range(2, most_levels + 1):
         reached = level.join(step, F.col("parent") == F.col("__c")).where("__p <> origin")
-        reached = reached.groupBy("origin", F.col("__p").alias("parent")).agg(F.max(F.col("confidence") * F.col("__f")).alias("confidence"))
+        reached = reached.groupBy("origin", F.col("__p").alias("parent")).agg(F.max(F.round(F.col("confidence") * F.col("__f"), PLACES)).alias("confidence"))
         known = best.select("origin", "parent", F.col("confidence").alias("held"), F.col("depth").alias("held_depth"))
         level = stages.keep(reached.join(known, ["origin", "parent"], "left").where("held is null or confidence > held").select("origin", "parent", "confidence"))
         both = best.unionByName(level.withColumn("depth", F.lit(depth)))

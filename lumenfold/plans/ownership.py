@@ -28,11 +28,11 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH RECURSIVE {_EDGES},
     w(origin, parent, confidence, depth, path) AS (SELECT child, parent, confidence, 1, [child, parent] FROM e WHERE child <> parent
       UNION ALL SELECT w.origin, e.parent, w.confidence * e.confidence, w.depth + 1, list_append(w.path, e.parent) FROM w JOIN e ON e.child = w.parent WHERE w.depth < 4 AND NOT list_contains(w.path, e.parent))
-    SELECT origin, parent, round(confidence, 6) AS confidence, depth FROM w QUALIFY row_number() OVER (PARTITION BY origin, parent ORDER BY w.confidence DESC, depth) = 1"""
+    SELECT origin, parent, round(confidence, 8) AS confidence, depth FROM w QUALIFY row_number() OVER (PARTITION BY origin, parent ORDER BY round(w.confidence, 12) DESC, depth) = 1"""
 )
 def ownership_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-217: the most confident way of up to four levels from each origin to each parent."""
-    return graphs.parent_exposure(_edges(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+    return graphs.parent_exposure(_edges(spark, sf_dir)).withColumn("confidence", F.round("confidence", 8))
 
 
 @query(
