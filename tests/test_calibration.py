@@ -2,19 +2,9 @@
 
 import random
 
-import pytest
-from compare import both
 from pyspark.sql import functions as F
 
 from lumenfold.operators import calibration
-from lumenfold.plans import calibration as plans  # noqa: F401
-from lumenfold.plans.registry import QUERIES, SQL
-
-
-@pytest.mark.parametrize("name", ["isotonic_calibration", "calibrated_horizons", "pair_thresholds", "pair_knees", "policy_grid", "policy_choice"])
-def test_same_as_sql(spark, name):
-    ours, wanted = both(spark, QUERIES[name], SQL[name])
-    assert ours == wanted and ours
 
 
 def plain_isotonic(points):

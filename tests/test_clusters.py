@@ -4,12 +4,10 @@ import math
 import random
 
 import pytest
-from compare import both
 from pyspark.sql import functions as F
 
 from lumenfold.operators import clusters
 from lumenfold.plans import clusters as plans
-from lumenfold.plans.registry import QUERIES, SQL
 
 SCHEMA = "item_id long, vector array<double>"
 
@@ -41,12 +39,6 @@ def around(centres, n, spread, rng):
     return [(i * 3 + 1, [c + rng.gauss(0, spread) for c in centres[i % len(centres)]]) for i in range(n)]
 
 
-@pytest.mark.parametrize("name", ["cluster_labels", "cluster_events"])
-def test_same_as_sql(spark, name):
-    ours, wanted = both(spark, QUERIES[name], SQL[name])
-    assert ours == wanted and ours
-
-
 @pytest.mark.parametrize("t", [0.0, 0.5, 0.8, 0.95])
 def test_equals_all_pairs(spark, t, monkeypatch):
     monkeypatch.setattr(clusters, "PIVOT_ROWS", 20)

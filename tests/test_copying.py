@@ -3,12 +3,9 @@
 import random
 
 import pytest
-from compare import both
 from pyspark.sql import functions as F
 
 from lumenfold.operators import copying
-from lumenfold.plans import copying as plans  # noqa: F401
-from lumenfold.plans.registry import QUERIES, SQL
 
 
 def plain(a, b, least):
@@ -25,12 +22,6 @@ def plain(a, b, least):
     return best if best[0] >= least else None
 
 
-@pytest.mark.parametrize("name", ["copied_passages", "copy_findings"])
-def test_same_as_sql(spark, name):
-    ours, wanted = both(spark, QUERIES[name], SQL[name])
-    assert ours == wanted and ours
-
-
 @pytest.mark.parametrize(("least", "split"), [(2, 10_000), (3, 2), (5, 1)])
 def test_runs_equal_the_quadratic_version(spark, least, split, monkeypatch):
     monkeypatch.setattr(copying, "SPLIT", split)
