@@ -21,10 +21,11 @@ LEAST_CHARS, MOST_CHARS = 20, 200
 MOST_CLAIMS = 3
 
 #: What a full stop belongs to rather than end a sentence with: an abbreviation, one capital, or initials of up to ten
-#: letters; the word begins behind anything but a letter or a full stop, and one line feed may follow it.
+#: letters; the word begins behind anything but a letter or a full stop, and one line feed may follow it. What stands before is
+#: looked at for full stops alone, not for each character.
 _BEFORE = r"(?:^|[^A-Za-z.])\.{0,9}"
 _SHORT = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-_STOP = rf"(?<!{_BEFORE}(?i:{_SHORT})\n?)(?<!{_BEFORE}[A-Z]\n?)(?<!{_BEFORE}(?:[A-Za-z]\.){{1,9}}[A-Za-z]\n?)\."
+_STOP = rf"(?=\.)(?<!{_BEFORE}(?i:{_SHORT})\n?)(?<!{_BEFORE}[A-Z]\n?)(?<!{_BEFORE}(?:[A-Za-z]\.){{1,9}}[A-Za-z]\n?)\."
 _WHITE = r"\p{IsWhite_Space}\x1C-\x1F"
 SENTENCE = rf"(?s)\G.*?(?:[!?]|{_STOP})[\"'”’]?(?=[{_WHITE}]|\z)"
 
@@ -49,6 +50,7 @@ def _any(words: tuple[str, ...]) -> str:
 def is_claim(text: Column) -> Column:
     """Whether a complete sentence reports a fact: 20 to 200 characters, no markup, question, hedge, dependent or listicle start, and a factual verb behind a subject."""
     body = strip(text)
+    # Empty without such a verb.
     subject = F.regexp_extract(body, rf"(?siU)^(.*?)\b(?:{'|'.join(PREDICATES)})\b", 1)
     starts = rf"(?iU)^\s*(?:(?:{'|'.join(DEPENDENT)})\b|(?:top\s+)?(?:\d+|{'|'.join(COUNTS)})\s+(?:{'|'.join(LISTED)})\b)"
     return (
@@ -57,7 +59,6 @@ def is_claim(text: Column) -> Column:
         & ~F.rlike(body, F.lit(r"\?[\"'”’]*\z"))
         & ~F.rlike(body, F.lit(starts))
         & ~F.rlike(body, F.lit(_any(HEDGES)))
-        & F.rlike(body, F.lit(_any(PREDICATES)))
         & F.rlike(subject, F.lit(r"[\p{L}\p{N}]"))
     )
 
