@@ -113,3 +113,15 @@ def test_long_texts_take_little_time(spark):
     began = time.monotonic()
     assert [(r.start, r.end) for r in claims.sentence_spans(df).collect()] == [(0, len(text) - 1)]
     assert time.monotonic() - began < 4
+
+
+def test_words_before_a_full_stop_are_those_of_backtracking(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("text").union(spark.createDataFrame([("a bc def. é ß3 x y. aé1b cc  d e f.",), (f"{'long ' * 15}end. a b",)], "text string"))
+    slow = F.regexp_replace("text", r"(\p{L}+) (\p{L}+)(?=[^.]{0,60}\.)", "$1 said $2")
+    assert docs.where(~slow.eqNullSafe(F.regexp_replace("text", plans._TWO_WORDS, "$1 said $2"))).count() == 0
+    # Words far from a full stop were tried from each of their letters, back to each letter of the next one.
+    text = "abcdefghijklmnopqrstuvwxyz " * 3_000
+    df = spark.createDataFrame([(text,)], "text string")
+    began = time.monotonic()
+    assert df.select(F.regexp_replace("text", plans._TWO_WORDS, "$1 said $2")).first()[0] == text
+    assert time.monotonic() - began < 3
