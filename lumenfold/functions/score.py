@@ -23,6 +23,14 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
+def round_product(x: Column, digits: int) -> Column:
+    """Rounded as SQL engines on plain doubles do: the product with 10 ** digits is rounded half away from zero.
+
+    Spark rounds the shortest decimal of a double instead: 0.285 becomes 0.29, although its product with 100 is below 28.5.
+    """
+    return F.round(x * float(10**digits), 0) / float(10**digits)
+
+
 def event_severity(articles: Column, sources: Column) -> Column:
     return F.round(100 * (0.6 * F.tanh(articles / 5.0) + 0.4 * F.tanh(sources / 3.0)), 2)
 

@@ -75,7 +75,8 @@ def apply_isotonic(rows: DataFrame, points: DataFrame, by: str, p: str = "p", to
     side = table.select(F.col(by).alias("__by"), F.col("bin").alias("__bin"), *[F.col(c).alias(f"__{c}") for c in ("x0", "x1", "y0", "y1")])
     q = clamp(F.col(p))
     met = rows.join(side, rows[by].eqNullSafe(side["__by"]) & (bin_of(q) == F.col("__bin")) & (q > F.col("__x0")) & (q <= F.col("__x1")), "left")
-    line = F.col("__y0") + (q - F.col("__x0")) / (F.col("__x1") - F.col("__x0")) * (F.col("__y1") - F.col("__y0"))
+    # At the end of a segment its own value counts: the line may miss it by the last bit.
+    line = F.when(q == F.col("__x1"), F.col("__y1")).otherwise(F.col("__y0") + (q - F.col("__x0")) / (F.col("__x1") - F.col("__x0")) * (F.col("__y1") - F.col("__y0")))
     return met.withColumn(to, F.when(F.col("__x1").isNull(), q).otherwise(clamp(line))).drop("__by", "__bin", "__x0", "__x1", "__y0", "__y1")
 
 

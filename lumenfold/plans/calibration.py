@@ -23,10 +23,10 @@ from lumenfold.plans.registry import query, table
 def isotonic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-072: a monotone fit of outcomes by priority, and its value at each probability of two places."""
     p = score.clamp(F.col("o_totalprice") / 500000, 0.0, 1.0)
-    rows = table(spark, sf_dir, "orders").select("o_orderpriority", F.round(p, 2).alias("p"), (F.col("o_orderstatus") == "F").alias("outcome"))
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", score.round_product(p, 2).alias("p"), (F.col("o_orderstatus") == "F").alias("outcome"))
     points = calibration.fit_isotonic(rows.withColumn("outcome", F.col("outcome").cast("int")), "o_orderpriority", digits=2)
     seen = rows.groupBy("o_orderpriority", "p").agg(F.count(F.lit(1)).alias("n"))
-    return calibration.apply_isotonic(seen, points, "o_orderpriority").withColumn("calibrated", F.round("calibrated", 6))
+    return calibration.apply_isotonic(seen, points, "o_orderpriority").withColumn("calibrated", score.round_product(F.col("calibrated"), 6))
 
 
 @query(

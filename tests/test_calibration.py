@@ -2,9 +2,12 @@
 
 import random
 
+from compare import TABLES, both
 from pyspark.sql import functions as F
 
 from lumenfold.operators import calibration
+from lumenfold.plans import calibration as plans
+from lumenfold.plans.registry import SQL
 
 
 def plain_isotonic(points):
@@ -94,3 +97,16 @@ def test_knee_prefers_recall_then_nearness(spark):
     df = spark.createDataFrame(rows, "g string, similarity double, same boolean")
     knees = calibration.precision_knee(calibration.threshold_counts(df, "g"), "g").collect()
     assert [(r.g, r.threshold, r.recall) for r in knees] == [("a", 0.8, 1.0)]
+
+
+def test_half_cents_are_rounded_as_in_sql(spark, tmp_path):
+    """142500 / 500000 is 0.285, which is 0.28 by its product with 100; 3 of 64 outcomes end in a half at six places."""
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    (tmp_path / "orders.parquet").unlink()
+    prices = [2500.0 * i for i in range(1, 200)] * 2 + [100_000.0] * 64
+    rows = [(i, 1, "F" if i % 5 == 0 or i > 460 else "O", v, "A" if v != 100_000.0 else "B") for i, v in enumerate(prices)]
+    frame = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").toPandas()
+    frame.to_parquet(tmp_path / "orders.parquet")
+    ours, wanted = both(spark, plans.isotonic_calibration, SQL["isotonic_calibration"], str(tmp_path))
+    assert ours == wanted and len(ours) > 90
