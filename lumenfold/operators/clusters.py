@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,9 @@ DEFAULT_THRESHOLD = 0.80
 PIVOT_ROWS = 5_000  # vectors a pivot stands for
 MOST_PIVOTS = 1_024  # pivots (a vector each) that go to the workers
 BANDS = 64  # of the angles to a pivot, from 0 to pi
-BLOCK_ROWS = 512  # vectors compared at once, about
+BLOCK_ROWS = 8_192  # vectors of a block at most, about: a block is moved once a block that it is compared with
+LEAST_BLOCKS = 16  # blocks that all vectors are cut into at least, if they have 512 vectors or more
+SQUARE = 1_024  # vectors of each side of a tile compared at once
 SLACK = 1e-6  # radians: bounds are wider by this than rounding can move them
 PREVIEW = 5
 
@@ -60,6 +63,20 @@ def _lists(values: np.ndarray, size: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, size), pa.int32()), pa.array(values.ravel()))
 
 
+def _prunes(pivots: np.ndarray, reach: float) -> bool:
+    """Whether a vector is a guest at half of the pivots or fewer, by the pivots themselves: each as if it weren't one.
+
+    Otherwise all vectors would be copied to nearly all pivots, which are as many as the table is large, and nothing
+    be left out: a single pivot compares no more than twice the pairs and copies none.
+    """
+    if len(pivots) < 3:
+        return True
+    angles = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    np.fill_diagonal(angles, np.inf)
+    guests = (angles <= angles.min(1)[:, None] + 2 * reach + SLACK).sum(1).mean()
+    return bool(2 * guests <= len(pivots) - 1)
+
+
 def _placed(reps: DataFrame, pivots: np.ndarray, reach: float) -> DataFrame:
     """(part, home, band, id, n, v): each vector at its home, and as a guest wherever an alike one may be at home."""
     dims = pivots.shape[1]
@@ -92,23 +109,28 @@ def _compared(tiles: DataFrame, dims: int, threshold: float) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                (ids, _, a), (others, n, b) = (_rows(batch.column(side)[i].values, dims) for side in ("a", "b"))
-                alike = (a @ b.T >= threshold) & (ids[:, None] != others[None, :])
-                if not alike.any():
-                    continue
-                none = np.iinfo(np.int64).max
-                root_a, root_b = np.where(alike.any(1), ids, none), np.where(alike.any(0), others, none)
-                while True:
-                    new_a = np.minimum(root_a, np.where(alike, root_b[None, :], none).min(1))
-                    new_b = np.minimum(root_b, np.where(alike, new_a[:, None], none).min(0))
-                    if (new_a == root_a).all() and (new_b == root_b).all():
-                        break
-                    root_a, root_b = new_a, new_b
-                links = alike @ n
-                in_a, in_b = alike.any(1), alike.any(0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate((ids[in_a], others[in_b]))), pa.array(np.concatenate((links[in_a], np.zeros(in_b.sum(), np.int64)))), pa.array(np.concatenate((root_a[in_a], root_b[in_b])))], ["id", "links", "root"]
-                )
+                left, right = (_rows(batch.column(side)[i].values, dims) for side in ("a", "b"))
+                for p, q in product(range(0, len(left[0]), SQUARE), range(0, len(right[0]), SQUARE)):
+                    yield from square([x[p : p + SQUARE] for x in left], [x[q : q + SQUARE] for x in right])
+
+    def square(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        (ids, _, a), (others, n, b) = left, right
+        alike = (a @ b.T >= threshold) & (ids[:, None] != others[None, :])
+        if not alike.any():
+            return
+        none = np.iinfo(np.int64).max
+        root_a, root_b = np.where(alike.any(1), ids, none), np.where(alike.any(0), others, none)
+        while True:
+            new_a = np.minimum(root_a, np.where(alike, root_b[None, :], none).min(1))
+            new_b = np.minimum(root_b, np.where(alike, new_a[:, None], none).min(0))
+            if (new_a == root_a).all() and (new_b == root_b).all():
+                break
+            root_a, root_b = new_a, new_b
+        links = alike @ n
+        in_a, in_b = alike.any(1), alike.any(0)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate((ids[in_a], others[in_b]))), pa.array(np.concatenate((links[in_a], np.zeros(in_b.sum(), np.int64)))), pa.array(np.concatenate((root_a[in_a], root_b[in_b])))], ["id", "links", "root"]
+        )
 
     return tiles.mapInArrow(run, "id long, links long, root long")
 
@@ -172,10 +194,13 @@ def single_link(items: DataFrame, threshold: float = DEFAULT_THRESHOLD, item_id:
     some = reps.orderBy(F.xxhash64("vector"), "id").limit(min(MOST_PIVOTS, -(-total // PIVOT_ROWS))).select("vector").collect()
     pivots = _units(pa.array([r["vector"] for r in some], pa.list_(pa.float64())), dims)
     reach = math.acos(threshold)
+    if not _prunes(pivots, reach):
+        pivots = pivots[:1]
+    block_rows = min(BLOCK_ROWS, max(SQUARE // 2, total // LEAST_BLOCKS))
     placed = stages.keep(_placed(reps.select("id", "n", "vector"), pivots, reach))
     sizes = placed.groupBy("part", "band").agg(F.count(F.lit(1)).alias("rows"))
     # At most MOST_PIVOTS * BANDS rows, so they are broadcast.
-    split = placed.join(F.broadcast(sizes), ["part", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / BLOCK_ROWS))).drop("rows")
+    split = placed.join(F.broadcast(sizes), ["part", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / block_rows))).drop("rows")
     row = F.struct("id", "n", "v")
     blocks = stages.keep(split.groupBy("part", "band", "block").agg(F.collect_list(row).alias("b"), F.collect_list(F.when(F.col("home"), row)).alias("a")))
     step = math.ceil((reach + SLACK) / math.pi * BANDS)

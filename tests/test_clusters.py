@@ -93,3 +93,15 @@ def test_articles_without_an_embedding_stop_the_run(spark):
     items = docs.join(plans._items(spark, "/root/testdata/sf0.01"), "item_id", "left")
     with pytest.raises(clusters.MissingVectors, match="500 item"):
         clusters.single_link(items)
+
+
+def test_vectors_without_structure_are_not_copied_to_all_pivots(spark, monkeypatch):
+    """At a low threshold random vectors were guests at nearly every pivot: 30 copies of each, and more with each further pivot."""
+    monkeypatch.setattr(clusters, "PIVOT_ROWS", 20)
+    monkeypatch.setattr(clusters, "SQUARE", 64)
+    rng, copies = random.Random(3), []
+    rows = [(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(600)]
+    placed = clusters._placed
+    monkeypatch.setattr(clusters, "_placed", lambda *a: (copies.append(placed(*a).count()), placed(*a))[1])
+    got = found(clusters.single_link(spark.createDataFrame(rows, SCHEMA), 0.6))
+    assert got == plain(rows, 0.6) and copies[0] <= 2 * len(rows)
