@@ -22,9 +22,13 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, least: float) -> DataF
 
     The threshold comes after the limit. ``queries`` (query_id, vector, label) is a
     stated set and is compared with the items of its label (the hard
-    filter), which is an equi-join.
+    filter), which is an equi-join. A vector's norm is worked out once, not once a pair.
     """
+    normed = lambda df: df.withColumns({"vector": F.transform("vector", lambda x: x.cast("double")), "norm": F.sqrt(dot(F.col("vector"), F.col("vector")))})
+    queries, items = normed(queries), normed(items)
     pairs = queries.alias("q").join(items.alias("i"), F.col("q.label") == F.col("i.label")).where("q.query_id <> i.item_id")
-    scored = pairs.select("q.query_id", "i.item_id", F.round(cosine(F.col("q.vector"), F.col("i.vector")), 6).alias("similarity"))
+    norms = F.col("q.norm") * F.col("i.norm")
+    similarity = F.when(norms > 0, dot(F.col("q.vector"), F.col("i.vector")) / norms).otherwise(0.0)
+    scored = pairs.select("q.query_id", "i.item_id", F.round(similarity, 6).alias("similarity"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "item_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).where(F.col("similarity") >= least)
