@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lumenfold.llm import near
@@ -110,3 +111,34 @@ def test_near_dedup_of_long_texts(spark):
     rows = list(enumerate(texts))
     got = near.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in got.collect()) == sorted(plain_kept(rows))
+
+
+def starts(pairs):
+    """The least member of each member's group."""
+    label = {x: x for pair in pairs for x in pair}
+    for _ in label:
+        for pair in pairs:
+            label |= dict.fromkeys(pair, min(label[x] for x in pair))
+    return label
+
+
+def test_near_stage_checks_the_links_of_simhash_fingerprints(spark, monkeypatch):
+    import corpus_pipeline as pipeline
+    from lumenfold.llm.simhash import RADIUS, fingerprint
+
+    rng, rows = random.Random(9), []
+    for at in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        for nth in range(4):  # all but the first have one changed word
+            rows.append((4 * at + nth, " ".join(["changed" if nth and i == nth else w for i, w in enumerate(base)])))
+    fps = {}
+    for _, t in rows:
+        sid = xxhash.xxh64_intdigest(near.shingles(t).tobytes(), near.SEED)
+        fps[sid - (1 << 64) if sid >= 1 << 63 else sid] = fingerprint(t)
+    close = {(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= RADIUS}
+    checked, alike = [], near._alike
+    monkeypatch.setattr(near, "_alike", lambda pairs, *rest: checked.append({(r.v, r.u) for r in pairs.select("v", "u").collect()}) or alike(pairs, *rest))
+    monkeypatch.setattr(near, "HEADS", 0)  # nothing but fingerprints before the last pass
+    got = pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(plain_kept(rows)) == list(range(0, 48, 4))
+    assert checked[0] <= close and len(close) > 20 and starts(checked[0]) == starts(close)
