@@ -57,3 +57,33 @@ def test_what_holds_a_decision():
     assert alerts.holds_decision(AlertState(level="high", state="open", peak=2, last_at=START), later)
     assert alerts.holds_decision(AlertState(state="resolved", resolved_at=later - timedelta(hours=23)), later)
     assert not alerts.holds_decision(AlertState(state="resolved", resolved_at=later - timedelta(hours=24)), later)
+
+
+def test_keys_share_calls_and_rows_of_state(spark, tmp_path, monkeypatch):
+    rows = [(user, kind, 600 * at + 2 * user + (kind == "b"), START + timedelta(hours=30 * at), 5.0 + 29 * ((user + at) % 4)) for at in range(3) for user in range(300) for kind in "ab"]
+    calls = spark.sparkContext.accumulator(0)
+    step = alerts._advance
+
+    def counted(ttl):
+        def advance(*args):
+            calls.add(1)
+            yield from step(ttl)(*args)
+
+        return advance
+
+    monkeypatch.setattr(alerts, "_advance", counted)
+    monkeypatch.setattr(alerts, "BUCKETS", 7)
+    got = streamed(spark, str(tmp_path), rows, [600, 1200])
+    assert got == sorted(map(tuple, fold_alerts(spark.createDataFrame(rows, SCHEMA)).collect()))
+    assert 0 < calls.value <= 7 * 5
+
+
+def test_a_null_user_is_a_key_of_its_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(alerts, "BUCKETS", 1)
+    big = (1 << 60) + 1  # not a float
+    rows = [(None, "a", 1, START, 70.0), (big, "a", 2, START, 5.0), (None, "a", 3, START, 90.0)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in")
+    moves = alerts.alert_moves(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"))
+    moves.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").orderBy("event_id").collect()
+    assert [(r.event_id, r.user_id, r.transition) for r in got] == [(1, None, "opened"), (2, big, "quiet"), (3, None, "replay")]
