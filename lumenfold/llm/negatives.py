@@ -20,9 +20,9 @@ from lumenfold.llm.common import Scratch, require
 
 BLOCK_ROWS = 256
 CURVE_DIMS, CURVE_BITS = 12, 4  # the dimensions of most variance, and the cells of each
-SPAN = 16  # the queries of so many neighbouring blocks are compared with
-ZONES = 128  # about so many blocks' zone maps at once
-PART_ROWS = 50_000  # rows that one task puts into blocks
+PACK = 1024  # rows along the curve whose queries are compared with a block at once
+ZONES = 2048  # blocks and packs compared, after which a task passes on what it has found
+PART_ROWS = 16_384  # rows that one task puts into blocks
 EXACT = 2.0**53  # integers below are exact as doubles
 INDEX = "block long, n int, ids array<long>, labels array<int>, vectors array<double>, low array<double>, high array<double>"
 FOUND = "rid long, slot int, score long, vec_id long"
@@ -162,45 +162,51 @@ class BlockIndex:
         doesn't find, ``block`` where that row lies, [low, high] the window. Higher scores come first, then smaller ids.
 
         1. Each query reads its own block; the last of its first ``most`` rows there is a bound for all others.
-        2. Zone maps are compared with the queries: a block is read for a query only if its scores can lie in the
-           window and beat the bound (at equal scores by its least id).
-        3. Those blocks are read, and the first rows of all blocks of a query are merged.
+        2. Each pack of rows with their queries meets each block in a product that moves nothing through a shuffle or the
+           driver. Zone maps come first: a block is read for a query only if its scores can lie in the window and beat the
+           bound (at equal scores by its least id).
+        3. Bounds rise with what a task finds. It passes on the first rows of each query, and those of all tasks are merged.
 
-        The result is exact. Queries of SPAN blocks are packed into one row, of SPAN * BLOCK_ROWS vectors at most times the slots.
+        The result is exact. A row of the product holds a block and a pack, which has each vector once however many queries
+        it is of. Nothing is broadcast: Spark would size packed rows by their compressed files and hold them whole in the driver.
         """
-        packed = lambda df, key: df.groupBy(key).agg(F.collect_list(F.struct("rid", "slot", "label", "v", "low", "high", "least_score", "least_id")).alias("queries"))
-        fresh = self.scratch.keep(queries.withColumns({"least_score": F.col("low").cast("double"), "least_id": F.lit(2**63 - 1)}))
-        own = packed(fresh, "block").join(self.blocks.select("block", "ids", "labels", "vectors"), "block")
-        dims = self.dims
-        seeds = own.select("queries", "ids", "labels", "vectors").mapInArrow(lambda batches: _read(batches, dims, most, same), FOUND)
+        dims, block = self.dims, ["ids", "labels", "vectors", "low", "high"]
+
+        def packed(asked: DataFrame, *key: str) -> DataFrame:
+            each = asked.groupBy("rid", *key).agg(F.first("label").alias("label"), F.first("v").alias("v"), F.collect_list(F.struct("slot", "low", "high", "least_score", "least_id")).alias("asks"))
+            return each.groupBy(*key).agg(F.collect_list(F.struct("rid", "label", "v", "asks")).alias("queries"))
+
+        fresh = self.scratch.keep(queries.withColumns({"least_score": F.col("low"), "least_id": F.lit(2**63 - 1)}))
+        own = packed(fresh, "block").hint("merge").join(self.blocks.select("block", *block), "block")
+        seeds = own.select("queries", *block, F.col("block").alias("pack")).mapInArrow(lambda batches: _read(batches, dims, most, same), FOUND)
         bound = seeds.groupBy("rid", "slot").agg(F.count(F.lit(1)).alias("__n"), F.max(F.struct((-F.col("score")).alias("score"), "vec_id")).alias("__last"))
         known = F.col("__n") >= most
-        bounded = self.scratch.keep(
+        part = F.shiftright("block", 32)
+        nth = F.dense_rank().over(W.partitionBy(part).orderBy("block", "rid")) - 1
+        bounded = (
             fresh.drop("least_score", "least_id")
-            .join(bound, ["rid", "slot"], "left")
-            .withColumns({"least_score": F.when(known, -F.col("__last.score")).otherwise(F.col("low")).cast("double"), "least_id": F.when(known, F.col("__last.vec_id")).otherwise(F.lit(2**63 - 1)), "chunk": F.floor(F.col("block") / SPAN)})
+            .join(bound.hint("merge"), ["rid", "slot"], "left")
+            .withColumns({"least_score": F.when(known, -F.col("__last.score")).otherwise(F.col("low")), "least_id": F.when(known, F.col("__last.vec_id")).otherwise(F.lit(2**63 - 1)), "pack": F.shiftleft(part, 32) + F.floor(nth / PACK)})
             .drop("__n", "__last")
         )
-        chunks = self.scratch.keep(packed(bounded, "chunk"))
-        # Each chunk of queries goes to each group of zone maps: the stated queries against all blocks.
-        groups = max(1, -(-self.blocks.count() // ZONES))
-        group = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("zone")
-        zones = self.blocks.groupBy(group).agg(F.collect_list(F.struct("block", "low", "high", F.array_min("ids").alias("least"), F.array_distinct("labels").alias("labels"))).alias("zones"))
-        spread = chunks.select("chunk", "queries", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("zone"))
-        needed = spread.join(zones, "zone").select("chunk", "queries", "zones").mapInArrow(lambda batches: _needed(batches, dims, same), "chunk long, block long, chosen array<int>")
-        reads = needed.join(chunks, "chunk").select("block", F.transform("chosen", lambda i: F.get("queries", i)).alias("queries"))
-        tiles = reads.join(self.blocks.select("block", "ids", "labels", "vectors"), "block").select("queries", "ids", "labels", "vectors")
-        found = tiles.mapInArrow(lambda batches: _read(batches, dims, most, same), FOUND)
+        packs = self.scratch.keep(packed(bounded, "pack"))
+        tiles = self.blocks.select(*block).crossJoin(packs.hint("shuffle_replicate_nl"))
+        found = tiles.select("queries", *block, "pack").mapInArrow(lambda batches: _read(batches, dims, most, same), FOUND)
         rank = F.row_number().over(W.partitionBy("rid", "slot").orderBy(F.desc("score"), "vec_id"))
         result = self.scratch.keep(found.withColumn("rank", rank).where(F.col("rank") <= most))
-        self.scratch.drop(fresh, bounded, chunks)
+        self.scratch.drop(fresh, packs)
         return result
 
 
 def _queries(column: pa.Array, i: int, dims: int) -> dict[str, np.ndarray]:
-    values = column[i].values
-    out = {n: values.field(n).to_numpy(zero_copy_only=False) for n in ("rid", "slot", "label", "low", "high", "least_score", "least_id")}
-    return out | {"v": _matrix(values.field("v"), dims) if dims else np.zeros((len(values), 0))}
+    """The queries of one row; ``of`` is the row of ``v`` that each is of."""
+    values, names = column[i].values, ("slot", "low", "high", "least_score", "least_id")
+    plain = lambda x: x.to_numpy(zero_copy_only=False)
+    v, of, asks = _matrix(values.field("v"), dims) if dims else np.zeros((len(values), 0)), np.arange(len(values)), values
+    if values.type.get_field_index("asks") >= 0:  # several of a vector
+        lists = values.field("asks")
+        of, asks = np.repeat(of, plain(lists.value_lengths())), lists.flatten()
+    return {n: plain(asks.field(n)) for n in names} | {"v": v, "of": of, "rid": plain(values.field("rid"))[of], "label": plain(values.field("label"))[of]}
 
 
 def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -213,21 +219,49 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _read(batches: Iterable[pa.RecordBatch], dims: int, most: int, same: bool) -> Iterator[pa.RecordBatch]:
-    """The first ``most`` rows for each query, of all the blocks that one batch reads for it."""
+    """The first ``most`` rows for each query, of all the blocks that one task reads for it."""
+    best: dict[int, np.ndarray] = {}  # by pack
+    reached: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # the bounds of its queries so far
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for rows in best.values():
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1].astype(np.int32)), pa.array(rows[2]), pa.array(rows[3])], ["rid", "slot", "score", "vec_id"])
+        best.clear()
+
+    compared = 0
     for batch in batches:
-        found = [np.zeros((4, 0), np.int64)]
         for i in range(batch.num_rows):
-            q = _queries(batch.column("queries"), i, dims)
-            ids, labels = batch.column("ids")[i].values.to_numpy(), batch.column("labels")[i].values.to_numpy()
-            score = scores(q["v"], batch.column("vectors")[i].values.to_numpy().reshape(len(ids), dims))
-            fits = ((labels[None, :] == q["label"][:, None]) == same) & (ids[None, :] != q["rid"][:, None])
-            fits &= (score >= q["low"][:, None]) & (score <= q["high"][:, None])
-            fits &= (score > q["least_score"][:, None]) | ((score == q["least_score"][:, None]) & (ids[None, :] <= q["least_id"][:, None]))
-            row, column = np.nonzero(fits)
-            found.append(_firsts(np.stack((q["rid"][row], q["slot"][row].astype(np.int64), score[row, column], ids[column])), most))
-        merged = _firsts(np.concatenate(found, 1), most)
-        if merged.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(merged[0]), pa.array(merged[1].astype(np.int32)), pa.array(merged[2]), pa.array(merged[3])], ["rid", "slot", "score", "vec_id"])
+            pack, q = batch.column("pack")[i].as_py(), _queries(batch.column("queries"), i, dims)
+            q["least_score"], q["least_id"] = reached.get(pack, (q["least_score"], q["least_id"]))
+            ids, labels, vectors, low, high = (batch.column(n)[i].values.to_numpy() for n in ("ids", "labels", "vectors", "low", "high"))
+            asked = np.flatnonzero(_fits(q, low[None, :], high[None, :], ids.min(keepdims=True), [set(labels.tolist())], same)[:, 0])
+            if not len(asked):
+                continue
+            of, at = np.unique(q["of"][asked], return_inverse=True)
+            score = scores(q["v"][of], vectors.reshape(len(ids), dims))
+            # Few rows reach the least bound of a vector's queries; those are held against each of them.
+            least = np.full(len(of), 2**63 - 1)
+            np.minimum.at(least, at, q["least_score"][asked])
+            row, column = np.nonzero(score >= least[:, None])
+            n_asked = np.bincount(at, minlength=len(of))
+            n = n_asked[row]
+            ask = asked[np.repeat((np.cumsum(n_asked) - n_asked)[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            score, column = np.repeat(score[row, column], n), np.repeat(column, n)
+            fits = ((labels[column] == q["label"][ask]) == same) & (ids[column] != q["rid"][ask]) & (score >= q["low"][ask]) & (score <= q["high"][ask])
+            fits &= (score > q["least_score"][ask]) | ((score == q["least_score"][ask]) & (ids[column] <= q["least_id"][ask]))
+            if fits.any():
+                ask, score, column = ask[fits], score[fits], column[fits]
+                rows = np.stack((q["rid"][ask], q["slot"][ask].astype(np.int64), score, ids[column], ask))
+                best[pack] = rows = _firsts(np.concatenate([best[pack], rows] if pack in best else [rows], 1), most)
+                last = np.flatnonzero(np.append((rows[4, 1:] != rows[4, :-1]), True))
+                full = last[np.diff(last, prepend=-1) >= most]
+                reached[pack] = q["least_score"].copy(), q["least_id"].copy()
+                reached[pack][0][rows[4, full]], reached[pack][1][rows[4, full]] = rows[2, full], rows[3, full]
+        compared += batch.num_rows
+        if compared >= ZONES:
+            compared = 0
+            yield from out()
+    yield from out()
 
 
 def _firsts(rows: np.ndarray, most: int) -> np.ndarray:
@@ -239,24 +273,29 @@ def _firsts(rows: np.ndarray, most: int) -> np.ndarray:
     return rows[:, np.arange(len(new)) - begins < most]
 
 
+def _fits(q: dict[str, np.ndarray], low: np.ndarray, high: np.ndarray, ids: np.ndarray, held: list[set[int]], same: bool) -> np.ndarray:
+    """Which blocks (a row of ``low`` and ``high``, the least id and the labels of each) a query must read: queries x blocks."""
+    up, down = np.maximum(q["v"], 0), np.minimum(q["v"], 0)
+    # The largest and least of v * x for x in [low, high], summed over the dimensions.
+    most, least = up @ high.T + down @ low.T, up @ low.T + down @ high.T
+    slack = np.abs(q["v"]).max(initial=0) * max(np.abs(low).max(initial=0), np.abs(high).max(initial=0)) * low.shape[1]
+    if slack >= EXACT:  # bounds are rounded there
+        most, least = most + slack * 1e-12, least - slack * 1e-12
+    most, least = most[q["of"]], least[q["of"]]
+    beat = (most > q["least_score"][:, None]) | ((most == q["least_score"][:, None]) & (ids[None, :] <= q["least_id"][:, None]))
+    fits = beat & (most >= q["low"][:, None]) & (least <= q["high"][:, None])
+    names, at = np.unique(q["label"], return_inverse=True)
+    has = np.array([[(x in h) if same else bool(h - {x}) for h in held] for x in names.tolist()], bool).reshape(len(names), len(held))
+    return fits & has[at]
+
+
 def _needed(batches: Iterable[pa.RecordBatch], dims: int, same: bool) -> Iterator[pa.RecordBatch]:
     """(chunk, block, chosen): the blocks that a chunk of queries must read, and which of its queries each is for."""
     for batch in batches:
         for i in range(batch.num_rows):
             q, zones = _queries(batch.column("queries"), i, dims), batch.column("zones")[i].values
             low, high = (_matrix(zones.field(n), dims) if dims else np.zeros((len(zones), 0)) for n in ("low", "high"))
-            up, down = np.maximum(q["v"], 0), np.minimum(q["v"], 0)
-            # The largest and least of v * x for x in [low, high], summed over the dimensions.
-            most, least = up @ high.T + down @ low.T, up @ low.T + down @ high.T
-            slack = np.abs(q["v"]).max(initial=0) * max(np.abs(low).max(initial=0), np.abs(high).max(initial=0)) * dims
-            if slack >= EXACT:  # bounds are rounded there
-                most, least = most + slack * 1e-12, least - slack * 1e-12
-            beat = (most > q["least_score"][:, None]) | ((most == q["least_score"][:, None]) & (zones.field("least").to_numpy()[None, :] <= q["least_id"][:, None]))
-            fits = beat & (most >= q["low"][:, None]) & (least <= q["high"][:, None])
-            held = [set(x.as_py()) for x in zones.field("labels")]
-            names = {x for h in held for x in h} | set(q["label"].tolist())
-            has = {x: np.array([(x in h) if same else bool(h - {x}) for h in held]) for x in names}
-            fits &= np.stack([has[x] for x in q["label"].tolist()])
+            fits = _fits(q, low, high, zones.field("least").to_numpy(), [set(x.as_py()) for x in zones.field("labels")], same)
             blocks, columns = zones.field("block").to_numpy(), np.flatnonzero(fits.any(0))
             if len(columns):
                 chosen = [np.flatnonzero(fits[:, k]).astype(np.int32) for k in columns]
@@ -284,7 +323,7 @@ def hard_negatives(
     near = index.search(anchors.withColumns(whole), positives, same=True).where("score >= 0")
     # 50 * p <= 100 * n <= 95 * p in whole numbers; a negative p has no such n.
     window = near.select("rid", F.col("rank").alias("slot"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"), F.expr("score div 2 + score % 2").alias("low"), F.expr("score - (score div 20 + if(score % 20 > 0, 1, 0))").alias("high"))
-    asked = anchors.join(window, "rid").where("low <= high")
+    asked = anchors.hint("merge").join(window, "rid").where("low <= high")
     away = index.search(asked.drop("positive_id", "positive_score"), negatives, same=False)
-    out = away.join(window.select("rid", "slot", "positive_id", "positive_score"), ["rid", "slot"])
+    out = away.hint("merge").join(window.select("rid", "slot", "positive_id", "positive_score"), ["rid", "slot"])
     return out.select(F.col("rid").alias("anchor_id"), "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

@@ -95,3 +95,14 @@ def test_zone_maps_leave_blocks_unread(spark):
     read = one.mapInArrow(lambda b: negatives._needed(b, 8, True), "chunk long, block long, chosen array<int>")
     pairs, blocks = read.select(F.sum(F.size("chosen"))).first()[0], index.blocks.count()
     assert blocks >= 40 and pairs <= 0.25 * blocks * 40
+
+
+def test_nothing_is_broadcast_and_the_product_is_not_shuffled(spark, monkeypatch):
+    """Packed vectors were sized by their compressed files and broadcast, and went through a shuffle once a block and query."""
+    plans, keep = [], negatives.Scratch.keep
+    monkeypatch.setattr(negatives.Scratch, "keep", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(self, df))
+    out = negatives.hard_negatives(spark.createDataFrame(made(300, 4, random.Random(3)), SCHEMA), block_rows=16)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert not [p for p in plans if "Broadcast" in p]
+    products = [p[p.index("CartesianProduct") :] for p in plans if "CartesianProduct" in p]
+    assert len(products) == 2 and not [p for p in products if "Exchange" in p]
