@@ -74,8 +74,9 @@ def near_words(words: DataFrame, parts: int = 4) -> DataFrame:
     twins = signatures(held, 2, parts, length)
     short, long = signatures(held, 1, parts - 1, length), signatures(held, 1, parts - 1, length - 1)
     one, two = ["sig", F.col("word").alias("a"), F.col("n").alias("a_n")], ["sig", F.col("word").alias("b"), F.col("n").alias("b_n")]
-    same = twins.select(*one).join(twins.select(*two), "sig").where("a < b")
-    off = short.select(*one).join(long.select(*two), "sig")
+    # Merged, not broadcast: Spark sizes signatures by the file of the words, before they are multiplied.
+    same = twins.select(*one).hint("merge").join(twins.select(*two), "sig").where("a < b")
+    off = short.select(*one).hint("merge").join(long.select(*two), "sig")
     pairs = same.unionByName(off).where(F.expr("levenshtein(a, b, 1)") == 1).select("a", "a_n", "b", "b_n").distinct()
     return pairs.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("a_n").alias("n"), F.col("b").alias("other"), F.col("b_n").alias("other_n")), F.struct(F.col("b").alias("word"), F.col("b_n").alias("n"), F.col("a").alias("other"), F.col("a_n").alias("other_n")))).alias("p")).select("p.*")
 
@@ -86,7 +87,7 @@ def _roots(forms: DataFrame, scratch: Scratch) -> DataFrame:
     hops = 1
     while hops < MOST_HOPS:
         onward = state.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = scratch.keep(state.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        moved = scratch.keep(state.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         scratch.drop(state)
         state, hops = moved, 2 * hops
         if state.where("moved").isEmpty():
@@ -103,7 +104,7 @@ def variant_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     one. Repeated rows count as often as they stand there; an empty table or empty and
     null texts give no words; other columns are ignored, whatever their names. A word
     of any length is held whole. Tables between the steps are in the shared folder;
-    those that the result doesn't read are deleted.
+    those that the result doesn't read are deleted. No table is broadcast: all of them grow with the words.
     """
     scratch = Scratch(docs.sparkSession, "variants")
     counted = word_counts(docs, doc_id, text)
@@ -112,5 +113,5 @@ def variant_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     best = near_words(words).groupBy("word", "n").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("rank"), "other")).alias("best"))
     linked = scratch.keep(best.select("word", "n_near", F.when(-F.col("best.rank") >= 2 * F.col("n"), F.struct(F.col("best.other").alias("form"), (-F.col("best.rank")).alias("form_n"))).alias("chosen")))
     roots = _roots(linked.where("chosen is not null").select("word", "chosen.form"), scratch)
-    found = words.join(linked, "word", "left").join(roots, "word", "left")
+    found = words.join(linked.hint("merge"), "word", "left").join(roots.hint("merge"), "word", "left")
     return found.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("chosen.form").alias("form"), F.col("chosen.form_n").alias("form_n"), F.coalesce("root", "word").alias("root"))

@@ -99,3 +99,12 @@ def test_a_long_path_of_forms_ends_at_one_root(spark):
     rows = found(variants.variant_groups(docs))
     assert rows == plain_groups([tuple(r) for r in docs.collect()])
     assert {r[5] for r in rows if r[0] in dict(chain)} == {chain[-1][0]}
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Signatures were sized by the file of the words, before they are multiplied, and broadcast."""
+    plans, keep = [], variants.Scratch.keep
+    monkeypatch.setattr(variants.Scratch, "keep", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(self, df))
+    out = variants.variant_groups(spark.createDataFrame([(1, "abcde abcde abcde abcdx abcdx abcdx abcdex abcdex abcdex")], SCHEMA))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("Join" in p for p in plans) >= 3 and not [p for p in plans if "Broadcast" in p]
