@@ -142,3 +142,11 @@ def test_near_stage_checks_the_links_of_simhash_fingerprints(spark, monkeypatch)
     got = pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in got.collect()) == sorted(plain_kept(rows)) == list(range(0, 48, 4))
     assert checked[0] <= close and len(close) > 20 and starts(checked[0]) == starts(close)
+
+
+def test_common_shingles_are_counted_over_all_texts(spark, monkeypatch):
+    """They were counted in a sample: texts of any other h were left out."""
+    monkeypatch.setattr(near, "SAMPLED", 20)
+    rows = [(i, 1, " ".join([f"w{i}x{j}" for j in range(9)] + (["a", "b", "c", "d", "e"] if i % 7 == 0 else []))) for i in range(70)]
+    common, times = near._common(spark.createDataFrame(rows, "doc_id long, h long, text string").coalesce(1))
+    assert common.tolist() == near.shingles("a b c d e").tolist() and 3 <= times[0] <= 10
